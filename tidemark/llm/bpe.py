@@ -193,6 +193,21 @@ def decode(df: DataFrame, path: str, ids: str = "ids", id_column: str = "doc_id"
     return map_rows(df, [id_column, ids], f"{id_column} {df.schema[id_column].dataType.simpleString()}, text string", make)
 
 
+def round_trip(df: DataFrame, path: str, pattern: str) -> DataFrame:
+    """doc_id, ids, n_tokens, and text: what the ids decode to, which is the text that came in (null: empty)."""
+
+    def make():
+        codec = _codec(BlockCodec, path, pattern)
+
+        def batch(keys, texts):
+            ids = [[i for w in words for i in codec.known[w]] for words in codec.words(texts)]
+            return keys, ids, [len(x) for x in ids], [codec.replay.decode(x).decode("utf-8", "replace") for x in ids]
+
+        return batch
+
+    return map_rows(df, ["doc_id", "text"], "doc_id long, ids array<int>, n_tokens long, text string", make)
+
+
 def digests(df: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of each whole text (null: empty)."""
 

@@ -24,13 +24,17 @@ def fold(column: str = "doc_id") -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % 5
 
 
+def arrow_schema(schema: str) -> pa.Schema:
+    return to_arrow_schema(T._parse_datatype_string(schema))
+
+
 def map_rows(df: DataFrame, columns: list[str], schema: str, make: Callable[[], Callable]) -> DataFrame:
     """Apply a batch function inside tasks, without a shuffle.
 
     ``make()`` runs once a task and returns ``f(*lists) -> list of lists`` (one list for each output
     column). Only ``columns`` leave the JVM; each Arrow batch is bounded by the session's settings.
     """
-    arrow = to_arrow_schema(T._parse_datatype_string(schema))
+    arrow = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()

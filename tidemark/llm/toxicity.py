@@ -136,21 +136,43 @@ def fit(rows: DataFrame, s: Settings | None = None) -> Model:
     return Model(mean.index.to_numpy(dtype=np.int64), mean.to_numpy(dtype=np.float64), bias, s.skip)
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, score (0 to 1) of each whole text; null and empty texts have the score of the bias alone. Rows that repeat are scored alike."""
+def scorer(m: Model):
+    """A function from texts to scores, for use in a task."""
+    w, memo = m.dense(), {}
+
+    def scores(texts: list[str | None]) -> list[float]:
+        if len(memo) > 1_000_000:
+            memo.clear()
+        return [float(sigmoid(w[features(hashes(t, memo), m.skip)].sum() + m.bias)) if t else float(sigmoid(m.bias)) for t in texts]
+
+    return scores
+
+
+def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows whose text scores under one half, with all their columns; texts that are null or empty stay."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    names, at = docs.columns, docs.columns.index("text")
 
     def make():
-        m = shared.value
-        w, memo = m.dense(), {}
+        scores = scorer(shared.value)
 
-        def batch(keys, texts):
-            if len(memo) > 1_000_000:
-                memo.clear()
-            return keys, [float(sigmoid(w[features(hashes(t, memo), m.skip)].sum() + m.bias)) if t else float(sigmoid(m.bias)) for t in texts]
+        def batch(*columns):
+            kept = [not t or x < 0.5 for t, x in zip(columns[at], scores(columns[at]), strict=True)]
+            return [[v for v, k in zip(c, kept, strict=True) if k] for c in columns]
 
         return batch
 
+    return map_rows(docs, names, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), make)
+
+
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id, score (0 to 1) of each whole text; null and empty texts have the score of the bias alone. Rows that repeat are scored alike."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def make():
+        scores = scorer(shared.value)
+        return lambda keys, texts: (keys, scores(texts))
+
     return map_rows(docs, ["doc_id", "text"], "doc_id long, score double", make)
 
 
