@@ -4,13 +4,14 @@
    registers hold floor(1 - log_b(min of exponentials)), so two sketches merge by maximum, and equal
    registers get likelier with similarity. No text leaves its task.
 2. Documents with equal sets form classes; from here on a class is one row, however many copies it has.
-3. Bands of register values make buckets. In a bucket, classes are compared with one member (a star); the
-   joint likelihood of the register pairs estimates the similarity, and each class keeps its likeliest partner.
+3. Bands of register values make buckets. In a bucket, classes are compared with its most central member (a
+   star): the one whose buckets hold most members. Each class takes the centre with which it shares most buckets, and the joint likelihood of their registers
+   estimates the similarity.
 4. Partners are confirmed on full sets, and linked classes get a common label. Buckets whose members share
-   a label are done; after a few stars all pairs with different labels in the buckets left are estimated
-   and confirmed, so no pair that shares a bucket is lost.
+   a label are done; after a few stars the members of the buckets left are paired across labels by an exact
+   prefix filter, estimated and confirmed, so no pair that shares a bucket is lost.
 
-At a similarity of 0.8, 38 bands of 5 registers miss a pair with probability 3e-7.
+At a similarity of 0.8, 48 bands of 6 registers miss a pair with probability 5e-7.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import map_rows, materialise, table
@@ -33,11 +34,11 @@ class Settings:
 
     words: int = 2
     percent: int = 80
-    bands: int = 38
-    rows: int = 5
+    bands: int = 48
+    rows: int = 6
     base: float = 1.001
-    judged: int = 96
-    floor: float = 0.63
+    judged: int = 288
+    floor: float = 0.7
     stars: int = 3
     share: int = 512
 
@@ -147,7 +148,7 @@ def banded(classes: DataFrame, s: Settings) -> DataFrame:
 
 
 def judged(pairs: DataFrame, classes: DataFrame, s: Settings) -> DataFrame:
-    """Pairs (a, b) with their estimated similarity, those under the floor left out."""
+    """Pairs (a, b) with their estimated similarity."""
     short = classes.select("id", F.col("n").cast("long").alias("n"), F.expr(f"substring(sketch, 1, {2 * s.judged})").alias("sketch"))
     both = pairs.join(short.toDF("b", "nb", "sb"), "b").join(short.toDF("a", "na", "sa"), "a")
 
@@ -158,7 +159,7 @@ def judged(pairs: DataFrame, classes: DataFrame, s: Settings) -> DataFrame:
 
         return batch
 
-    return map_rows(both, ["a", "b", "na", "nb", "sa", "sb"], "a long, b long, likeness double", make).where(F.col("likeness") >= s.floor)
+    return map_rows(both, ["a", "b", "na", "nb", "sa", "sb"], "a long, b long, likeness double", make)
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
@@ -188,6 +189,42 @@ def confirmed(pairs: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
     return map_rows(left.join(right, ["a", "part"]), ["a", "b", "ta", "tb"], "a long, b long, linked boolean", make)
 
 
+def across(classes: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
+    """Pairs (a, b) with different labels that can be similar enough, of classes (id, label) in buckets without a common label.
+
+    Prefix filter: with shingles from the rarest to the most frequent, similar sets share one among the first
+    size - ceil(threshold * size) + 1, and what lies behind their first common one can still reach the overlap
+    that their sizes ask for. Passages that many texts share lie behind what is a text's own, so texts that
+    have only such a passage in common don't meet unless it is enough.
+    """
+
+    def make():
+        memo: dict[bytes, int] = {}
+
+        def batch(ids, labels, found):
+            sets = [shingles(t, s.words, memo) for t in found]
+            if len(memo) > 500_000:
+                memo.clear()
+            sizes = [len(x) for x in sets]
+            every = np.concatenate(sets).astype(np.int64) if sets else np.zeros(0, np.int64)
+            return np.repeat(ids, sizes), np.repeat(labels, sizes), np.repeat(sizes, sizes), every
+
+        return batch
+
+    rows = materialise(map_rows(classes.join(texts.toDF("id", "text"), "id"), ["id", "label", "text"], "id long, label long, n long, shingle long", make))
+    often = rows.groupBy("shingle").agg(F.count("*").alias("often"), F.min("label").alias("low"), F.max("label").alias("top")).where("often > 1")
+    shared = rows.join(often, "shingle")
+    rank = F.row_number().over(Window.partitionBy("id").orderBy("often", "shingle"))
+    own = F.col("n") - F.count("*").over(Window.partitionBy("id"))  # those that no other class has come first
+    reach = F.col("n") - F.ceil(F.col("n") * s.percent / 100) + 1
+    heads = shared.withColumn("at", rank + own).where(F.col("at") <= reach).where("low <> top").select("shingle", "id", "label", "n", "at")
+    heads = materialise(heads)
+    x, y = heads.toDF("shingle", "a", "la", "na", "pa"), heads.toDF("shingle", "b", "lb", "nb", "pb")
+    rest = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) + 1
+    fits = (F.col("la") < F.col("lb")) & ((100 + s.percent) * rest >= s.percent * (F.col("na") + F.col("nb")))
+    return x.join(y, "shingle").where(fits).select("a", "b").distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """id, label for every id in ``edges`` (a, b): the smallest id that can be reached.
 
@@ -243,31 +280,37 @@ def near_duplicates(docs: DataFrame, s: Settings | None = None) -> DataFrame:
 def _links(buckets: DataFrame, own: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
     """id, label of all classes that are linked with another."""
     spark = buckets.sparkSession
-    labels = edges = tested = None
+    labels = edges = tested = used = None
     for turn in range(s.stars + 1):
         now = buckets if labels is None else buckets.join(labels, "id", "left")
         now = now.select("key", "id", (F.coalesce("label", "id") if labels is not None else F.col("id")).alias("label"))
-        heads = now.groupBy("key").agg(F.min(F.struct("label", "id")).alias("head"), F.max("label").alias("top")).where("head.label <> top")
-        buckets = materialise(now.join(heads, "key").select("key", "id", "label", "head"))
+        sizes = now.groupBy("key").agg(F.count("*").alias("members"), F.min("label").alias("low"), F.max("label").alias("top")).where("low <> top")
+        now = materialise(now.join(sizes.select("key", "members"), "key"))
+        central = now.groupBy("id").agg(F.sum("members").alias("weight"))
+        if used is not None:
+            central = central.join(used, "id", "left_anti")
+        heads = now.join(central, "id").groupBy("key").agg(F.max(F.struct("weight", (-F.col("id")).alias("id"), "label")).alias("head"))
+        heads = heads.select("key", F.struct((-F.col("head.id")).alias("id"), F.col("head.label").alias("label")).alias("head"))
+        buckets = materialise(now.join(heads, "key", "left").select("key", "id", "label", "head"))
         if buckets.isEmpty():
             break
         if turn < s.stars:
-            pairs = buckets.where("label <> head.label").select(F.col("head.id").alias("a"), F.col("id").alias("b"))
+            pairs = buckets.where("label <> head.label").groupBy(F.col("head.id").alias("a"), F.col("id").alias("b")).agg(F.count("*").alias("shared"))
         else:
-            x, y = buckets.select("key", F.col("id").alias("a"), F.col("label").alias("la")), buckets.select("key", F.col("id").alias("b"), F.col("label").alias("lb"))
-            pairs = x.join(y, "key").where("la < lb").select("a", "b")
-        buckets = buckets.select("key", "id")
-        pairs = pairs.distinct()
+            pairs = across(buckets.select("id", "label").distinct(), texts, s)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti").join(tested.toDF("b", "a"), ["a", "b"], "left_anti")
-        likely = judged(pairs, own, s)
-        if turn < s.stars:
-            likely = likely.groupBy("b").agg(F.max(F.struct("likeness", (-F.col("a")).alias("a"))).alias("best")).select((-F.col("best.a")).alias("a"), "b")
-        likely = materialise(likely.select("a", "b"))
+        if turn < s.stars:  # the head that shares most buckets; the others' turn comes if that one isn't linked
+            heads = buckets.where("head IS NOT NULL").select(F.col("head.id").alias("id")).distinct()
+            used = heads if used is None else used.unionByName(heads)
+            pairs = pairs.groupBy("b").agg(F.max(F.struct("shared", (-F.col("a")).alias("a"))).alias("best")).select((-F.col("best.a")).alias("a"), "b")
+        buckets = buckets.select("key", "id")
+        seen = materialise(judged(pairs, own, s))
+        tested = seen.select("a", "b") if tested is None else tested.unionByName(seen.select("a", "b"))
+        likely = seen.where(F.col("likeness") >= s.floor).select("a", "b")
         if likely.isEmpty():
             continue
         found = materialise(confirmed(likely, texts, s))
-        tested = found.select("a", "b") if tested is None else tested.unionByName(found.select("a", "b"))
         new = found.where("linked").select("a", "b")
         edges = new if edges is None else edges.unionByName(new)
         labels = components(edges)
