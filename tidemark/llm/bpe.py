@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import map_rows
 
 #: Words kept between the batches of a worker. Only memory depends on it: what is forgotten is merged anew.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 1_000_000
 #: Words merged together, and a number above every token id.
 RUN_WORDS, SPAN = 10_000, 1 << 24
 
@@ -136,7 +136,7 @@ class BlockCodec:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.replay, self.split = MergeReplay(ranks), regex.compile(pattern).findall
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict = {}
 
     def words(self, texts: list[str | None]) -> list[list[str]]:
         found = [self.split(t or "") for t in texts]
@@ -153,10 +153,18 @@ class BlockCodec:
 
 
 class DigestCodec(BlockCodec):
-    """Keeps what the digests need of each word: its ids as text, their number, and the bytes they decode to."""
+    """Keeps the ids of each word as text: less to hold than numbers, and a document's text of ids is one join."""
 
-    def of(self, ids: list[int]) -> tuple:
-        return ",".join(map(str, ids)), len(ids), self.replay.decode(ids)
+    def __init__(self, ranks: dict[bytes, int], pattern: str):
+        super().__init__(ranks, pattern)
+        self.names = {rank: str(rank) for rank in ranks.values()}
+        self.bytes = {str(rank): token for token, rank in ranks.items()}
+
+    def of(self, ids: list[int]) -> str:
+        return ",".join(map(self.names.__getitem__, ids))
+
+    def decode(self, ids: str) -> bytes:
+        return b"".join(map(self.bytes.__getitem__, ids.split(","))) if ids else b""
 
 
 @lru_cache(maxsize=2)
@@ -217,10 +225,10 @@ def digests(df: DataFrame, path: str, pattern: str) -> DataFrame:
         def batch(keys, texts):
             counts, coded, decoded = [], [], []
             for words in codec.words(texts):
-                parts = [codec.known[w] for w in words]
-                counts.append(sum(p[1] for p in parts))
-                coded.append(hashlib.sha256(",".join([p[0] for p in parts]).encode()).hexdigest())
-                decoded.append(hashlib.sha256(b"".join([p[2] for p in parts])).hexdigest())
+                ids = ",".join(map(codec.known.__getitem__, words))
+                counts.append(ids.count(",") + 1 if ids else 0)
+                coded.append(hashlib.sha256(ids.encode()).hexdigest())
+                decoded.append(hashlib.sha256(codec.decode(ids)).hexdigest())
             return keys, counts, coded, decoded
 
         return batch
