@@ -117,15 +117,9 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]], s: Settings) -> Model:
 
 
 def fit(rows: DataFrame, s: Settings | None = None) -> Model:
-    """Learn from ``rows`` (doc_id, text, grade 0 to grades - 1); nulls are left out. Without rows every grade is as likely as any prior step makes it."""
+    """Learn from ``rows`` (doc_id, text, grade 0 to grades - 1), which ``graded`` keeps to a bounded sample; nulls are left out. Without rows every grade is as likely as any prior step makes it."""
     s = s or Settings()
     rows = rows.select("doc_id", "text", "grade").dropna()
-    sizes = {r["grade"]: r["count"] for r in rows.groupBy("grade").count().collect()}  # a row for each grade
-    share = F.lit(0.0)
-    for grade, n in sizes.items():
-        share = F.when(F.col("grade") == grade, F.lit(min(1.0, s.sample_rows / n))).otherwise(share)
-    chosen = rows.where((F.pmod(F.xxhash64("doc_id", F.lit("grade")), F.lit(1 << 20)) / F.lit(float(1 << 20))) < share)
-
     def extract():
         memo: dict = {}
 
@@ -141,7 +135,7 @@ def fit(rows: DataFrame, s: Settings | None = None) -> Model:
         kept = np.flatnonzero(model.weight)
         return pd.DataFrame({"i": np.concatenate([kept, -1 - np.arange(s.grades - 1)]), "w": np.concatenate([model.weight[kept], model.thresholds])})
 
-    got = map_rows(chosen, ["doc_id", "text", "grade"], "doc_id long, at array<int>, value array<double>, grade int", extract).groupBy().applyInPandas(shard, "i long, w double").toPandas()
+    got = map_rows(rows, ["doc_id", "text", "grade"], "doc_id long, at array<int>, value array<double>, grade int", extract).groupBy().applyInPandas(shard, "i long, w double").toPandas()
     w = np.zeros(1 << BITS)
     if not len(got):
         return Model(w, np.arange(s.grades - 1, dtype=float))
@@ -174,11 +168,20 @@ def score(docs: DataFrame, model: Model, s: Settings | None = None) -> DataFrame
     return map_rows(docs, ["doc_id", "text"], "doc_id long, expected_grade double, tail double, selected boolean", make)
 
 
-def graded(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, text, grade of labelled rows that aren't held out: 0 low, 1 good but toxic, 2 good and clean."""
+def graded(docs: DataFrame, labels: DataFrame, s: Settings | None = None) -> DataFrame:
+    """doc_id, text, grade of labelled rows that aren't held out: 0 low, 1 good but toxic, 2 good and clean.
+
+    Ratings are sampled before they meet the texts: what is broadcast is about ``sample_rows`` ids a grade at most.
+    """
+    s = s or Settings()
     grade = F.when(F.col("quality") == 0, 0).when(F.coalesce("toxic", F.lit(0)) == 1, 1).otherwise(2)
-    own = labels.where(F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min(grade).alias("grade"))
-    return docs.select("doc_id", "text").where(fold() != 0).join(own, "doc_id")
+    own = labels.where(F.col("quality").isNotNull() & (fold() != 0)).groupBy("doc_id").agg(F.min(grade).alias("grade"))
+    sizes = {r["grade"]: r["count"] for r in own.groupBy("grade").count().collect()}  # a row for each grade
+    share = F.lit(0.0)
+    for k, n in sizes.items():
+        share = F.when(F.col("grade") == k, F.lit(min(1.0, s.sample_rows / n))).otherwise(share)
+    chosen = own.where((F.pmod(F.xxhash64("doc_id", F.lit("grade")), F.lit(1 << 20)) / F.lit(float(1 << 20))) < share)
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -96,17 +96,17 @@ class Model:
         return w
 
 
-def sample(rows: DataFrame, s: Settings) -> DataFrame:
-    """About ``sample_rows`` rows of each class at most, chosen by a hash of doc_id; all where there are fewer."""
-    counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}  # two classes
+def sample(labels: DataFrame, s: Settings) -> DataFrame:
+    """About ``sample_rows`` labels (doc_id, label) of each class at most, chosen by a hash of doc_id; all where there are fewer."""
+    counts = {r["label"]: r["count"] for r in labels.groupBy("label").count().collect()}  # two classes
     share = F.lit(0.0)
     for label, n in counts.items():
         share = F.when(F.col("label") == label, F.lit(min(1.0, s.sample_rows / n))).otherwise(share)
-    return rows.where((F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 20)) / F.lit(float(1 << 20))) < share)
+    return labels.where((F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 20)) / F.lit(float(1 << 20))) < share)
 
 
 def fit(rows: DataFrame, s: Settings | None = None) -> Model:
-    """Learn from ``rows`` (doc_id, text, label 0/1). Null labels or texts are left out. No rows, or one class only: the bias alone."""
+    """Learn from ``rows`` (doc_id, text, label 0/1), which ``labelled`` keeps to a bounded sample. Null labels or texts are left out. No rows, or one class only: the bias alone."""
     s = s or Settings()
 
     def extract():
@@ -126,7 +126,7 @@ def fit(rows: DataFrame, s: Settings | None = None) -> Model:
         return pd.DataFrame({"i": every[kept], "w": w[kept], "n": len(pdf)})
 
     rows = rows.select("doc_id", "text", F.col("label").cast("int").alias("label")).dropna(subset=["text", "label"])
-    found = map_rows(sample(rows, s), ["doc_id", "text", "label"], "doc_id long, at array<int>, label int", extract)
+    found = map_rows(rows, ["doc_id", "text", "label"], "doc_id long, at array<int>, label int", extract)
     parts = found.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(s.shards))).groupBy("shard").applyInPandas(shard, "i long, w double, n long")
     found = parts.toPandas()  # at most shards * (2**BITS + 1) numbers; L1 leaves some thousands
     mean = found.groupby("i")["w"].sum() / s.shards if len(found) else pd.Series(dtype=float)
@@ -176,10 +176,14 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return map_rows(docs, ["doc_id", "text"], "doc_id long, score double", make)
 
 
-def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows that may be learned from: doc_id, text, label, without held-out documents."""
-    toxic = labels.where(F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("label"))
-    return docs.select("doc_id", "text").where(fold() != 0).join(toxic, "doc_id")
+def labelled(docs: DataFrame, labels: DataFrame, s: Settings | None = None) -> DataFrame:
+    """The rows that are learned from: doc_id, text, label, without held-out documents.
+
+    Labels are sampled before they meet the texts, so what is broadcast has a bound (about two classes times
+    ``sample_rows`` ids) and no text is shuffled.
+    """
+    toxic = labels.where(F.col("toxic").isNotNull() & (fold() != 0)).groupBy("doc_id").agg(F.max("toxic").alias("label"))
+    return docs.select("doc_id", "text").join(F.broadcast(sample(toxic, s or Settings())), "doc_id")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
