@@ -13,8 +13,11 @@ import gc
 import hashlib
 import heapq
 from collections import defaultdict
+from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
+import numpy as np
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +28,8 @@ from tidemark.llm.common import map_rows
 CACHE_WORDS = 1_000_000
 #: Words merged together, and a number above every token id.
 RUN_WORDS, SPAN = 10_000, 1 << 24
+#: Characters whose words are held at a time (a longer text goes alone), and pairs whose ranks are remembered.
+RUN_CHARS, CACHE_PAIRS = 1_000_000, 1_000_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -49,6 +54,8 @@ class MergeReplay:
     def encode(self, words: list[bytes]) -> list[list[int]]:
         """Token ids of each word; empty words have none. Words are taken in runs that stay in the processor's cache."""
         out: list[list[int]] = []
+        if len(self.joined) > CACHE_PAIRS:
+            self.joined.clear()
         collects = gc.isenabled()
         gc.disable()  # nothing here is cyclic; the collector would walk the index over and over
         try:
@@ -138,14 +145,27 @@ class BlockCodec:
         self.replay, self.split = MergeReplay(ranks), regex.compile(pattern).findall
         self.known: dict = {}
 
-    def words(self, texts: list[str | None]) -> list[list[str]]:
-        found = [self.split(t or "") for t in texts]
+    def coded(self, texts: list[str | None]) -> Iterator[list]:
+        """What ``of`` makes of each word of each text, text by text; what is held at a time has a bound."""
+        run, size = [], 0
+        for text in texts:
+            run.append(text or "")
+            size += len(run[-1])
+            if size >= RUN_CHARS:
+                yield from self._coded(run)
+                run, size = [], 0
+        yield from self._coded(run)
+
+    def _coded(self, texts: list[str]) -> Iterator[list]:
+        found = [self.split(t) for t in texts]
         if len(self.known) > CACHE_WORDS:
             self.known.clear()
+        get = self.known.__getitem__
         new = list({w for words in found for w in words if w not in self.known})
         merged = self.replay.encode([w.encode() for w in new])
         self.known.update((w, self.of(ids)) for w, ids in zip(new, merged, strict=True))
-        return found
+        for words in found:
+            yield list(map(get, words))
 
     @staticmethod
     def of(ids: list[int]) -> tuple:
@@ -183,7 +203,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", id_column
         codec = _codec(BlockCodec, path, pattern)
 
         def batch(keys, texts):
-            ids = [[i for w in words for i in codec.known[w]] for words in codec.words(texts)]
+            ids = [np.fromiter(chain.from_iterable(words), dtype=np.int32) for words in codec.coded(texts)]
             return keys, ids, [len(x) for x in ids]
 
         return batch
@@ -208,8 +228,8 @@ def round_trip(df: DataFrame, path: str, pattern: str) -> DataFrame:
         codec = _codec(BlockCodec, path, pattern)
 
         def batch(keys, texts):
-            ids = [[i for w in words for i in codec.known[w]] for words in codec.words(texts)]
-            return keys, ids, [len(x) for x in ids], [codec.replay.decode(x).decode("utf-8", "replace") for x in ids]
+            ids = [np.fromiter(chain.from_iterable(words), dtype=np.int32) for words in codec.coded(texts)]
+            return keys, ids, [len(x) for x in ids], [codec.replay.decode(x.tolist()).decode("utf-8", "replace") for x in ids]
 
         return batch
 
@@ -224,8 +244,8 @@ def digests(df: DataFrame, path: str, pattern: str) -> DataFrame:
 
         def batch(keys, texts):
             counts, coded, decoded = [], [], []
-            for words in codec.words(texts):
-                ids = ",".join(map(codec.known.__getitem__, words))
+            for words in codec.coded(texts):
+                ids = ",".join(words)
                 counts.append(ids.count(",") + 1 if ids else 0)
                 coded.append(hashlib.sha256(ids.encode()).hexdigest())
                 decoded.append(hashlib.sha256(codec.decode(ids)).hexdigest())
