@@ -29,7 +29,7 @@ CACHE_WORDS = 1_000_000
 #: Words merged together, and a number above every token id.
 RUN_WORDS, SPAN = 10_000, 1 << 24
 #: Characters whose words are held at a time (a longer text goes alone), and pairs whose ranks are remembered.
-RUN_CHARS, CACHE_PAIRS = 1_000_000, 1_000_000
+RUN_CHARS, CACHE_PAIRS = 1_000_000, 400_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -225,7 +225,7 @@ def round_trip(df: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, ids, n_tokens, and text: what the ids decode to, which is the text that came in (null: empty)."""
 
     def make():
-        codec = _codec(BlockCodec, path, pattern)
+        codec = BlockCodec(load_ranks(path), pattern)  # its words go with the task: other stages use the same workers
 
         def batch(keys, texts):
             ids = [np.fromiter(chain.from_iterable(words), dtype=np.int32) for words in codec.coded(texts)]
