@@ -254,3 +254,18 @@ def test_all_operators_take_no_rows(spark, odd):
     assert bpe.digests(none, path, pattern).count() == toxicity.score(none, toxicity.fit(none.withColumn("label", F.lit(1)))).count() == 0
     assert quality.score(none, quality.fit(none.withColumn("grade", F.lit(1)))).count() == 0
     assert {q.split("_")[0] for q in queries.QUERIES} == {f"op{n}" for n in range(1, 11)}
+
+
+def test_batches_are_dealt_whole_and_in_order():
+    import pyarrow as pa
+
+    from tidemark.llm import common
+
+    texts = ["x" * n for n in (10, 5 << 20, 3, 0, *[1 << 20] * 9)] + [None]
+    batch = pa.record_batch({"doc_id": list(range(len(texts))), "text": texts})
+    parts = list(common.runs(batch))
+    assert [i for p in parts for i in p.column(0).to_pylist()] == list(range(len(texts)))
+    assert [t for p in parts for t in p.column(1).to_pylist()] == texts
+    assert all(p.num_rows == 1 or p.nbytes <= common.RUN_BYTES for p in parts) and len(parts) > 3
+    empty = batch.slice(0, 0)
+    assert [p.num_rows for p in common.runs(empty)] == [0]

@@ -28,11 +28,26 @@ def arrow_schema(schema: str) -> pa.Schema:
     return to_arrow_schema(T._parse_datatype_string(schema))
 
 
+#: Bytes of Arrow rows that are made Python objects at a time; a longer row goes alone. Only memory depends on it.
+RUN_BYTES = 4 << 20
+
+
+def runs(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """All rows of the batch, in order, in runs of at most RUN_BYTES or one row."""
+    if batch.num_rows < 2 or batch.nbytes <= RUN_BYTES:
+        yield batch
+    else:
+        half = batch.num_rows // 2
+        yield from runs(batch.slice(0, half))
+        yield from runs(batch.slice(half))
+
+
 def map_rows(df: DataFrame, columns: list[str], schema: str, make: Callable[[], Callable]) -> DataFrame:
     """Apply a batch function inside tasks, without a shuffle.
 
     ``make()`` runs once a task and returns ``f(*lists) -> list of lists`` (one list for each output
-    column). Only ``columns`` leave the JVM; each Arrow batch is bounded by the session's settings.
+    column). Only ``columns`` leave the JVM; each Arrow batch is bounded by the session's settings, and
+    ``f`` gets it in runs of RUN_BYTES, so that what a worker holds does not depend on the rows of a batch.
     """
     arrow = arrow_schema(schema)
 
@@ -41,7 +56,7 @@ def map_rows(df: DataFrame, columns: list[str], schema: str, make: Callable[[],
         collects = gc.isenabled()
         gc.disable()  # batch functions make many lists and no cycles; walking them costs more than they do
         try:
-            for batch in batches:
+            for batch in (run for whole in batches for run in runs(whole)):
                 if batch.num_rows:
                     out = f(*(batch.column(i).to_pylist() for i in range(batch.num_columns)))
                     yield pa.RecordBatch.from_arrays([pa.array(x, type=t.type) for x, t in zip(out, arrow, strict=True)], schema=arrow)
