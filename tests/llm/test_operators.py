@@ -155,6 +155,36 @@ def test_pii_base_spans_and_tagger(spark, odd, docs):
     assert pii.tag(["1" * 10], pii.fit(docs.limit(0)), pii.Settings()) == [[]]
 
 
+def test_pii_disguised_addresses_without_digit_or_at(spark):
+    rng, letters = random.Random(11), "abcdefghijklmnopqrstuvwxyz"
+
+    def word(k=None):
+        return "".join(rng.choices(letters, k=k or rng.randint(2, 8)))
+
+    def address():
+        return f"{word()}.{word()}@mail.{word()}.com"
+
+    rows = [(i, f"{' '.join(word() for _ in range(20))} {address()} {' '.join(word() for _ in range(20))}.") for i in range(400)]
+    model = pii.fit(spark.createDataFrame(rows, "doc_id long, text string"))
+    held = [(i, address().replace("@", rng.choice([" (at) ", " [at] "]))) for i in range(60)]
+    texts = {i: f"{' '.join(word() for _ in range(30 * (i % 4)))} {a} {' '.join(word() for _ in range(10))}." for i, a in held}
+    assert not any(pii.TELL.search(t) for t in texts.values())
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    spans = {r.doc_id: r.spans for r in pii.find(docs, model).collect()}
+    clean = {r.doc_id: r.text for r in pii.redact(docs, model).collect()}
+    hit = sum(spans[i] == f"email:{texts[i].index(a)}:{texts[i].index(a) + len(a)}" for i, a in held)
+    assert hit >= 50 and sum("[email]" in clean[i] and a not in clean[i] for i, a in held) >= hit
+
+
+def test_pii_decode_is_viterbi(docs):
+    texts, s = [r.text for r in docs.where("text rlike '[0-9]@|@[a-z]'").orderBy("doc_id").limit(20).collect()], pii.Settings()
+    model = pii.fit(docs)
+    x = np.concatenate([pii.cut_windows(pii.codes(t), s) for t in texts])
+    got, want = model.decode(x), model.viterbi(x)
+    assert (got == want).mean() > 0.9999 and want.any()
+    assert [pii.tag([t], model, s)[0] for t in texts] == pii.tag(texts, model, s)
+
+
 def test_crf_gradient_is_the_likelihoods():
     m, rng = pii.Tagger(3), np.random.default_rng(0)
     x, y = rng.integers(1, 130, (4, 12)), pii.tags_of(12, [("ip", 2, 6)])[None].repeat(4, 0)

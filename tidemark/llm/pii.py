@@ -2,8 +2,8 @@
 
 The tagger is trained in numpy, in one task, on windows around labelled spans of a bounded sample. Long
 texts are covered by overlapping windows; where windows disagree, a character takes the tag of the window
-in whose middle it lies, and spans are read off the whole reconciled tag sequence. Every kind of span holds
-a digit or an ``@``, so a window with neither is all outside and is not run.
+in whose middle it lies, and spans are read off the whole reconciled tag sequence. All windows are run:
+a disguised address (``anna (at) mail.example.com``) need hold neither a digit nor an ``@``.
 """
 
 from __future__ import annotations
@@ -82,11 +82,15 @@ def written(spans: list[Span]) -> str:
 TAGS = 1 + 2 * len(KINDS)  # outside, then begin and inside of each kind
 CHARS = 131  # 0: padding; 1 to 128: ASCII; 129: other letters; 130: the rest
 FORBIDDEN = -1e4
+TELLS = np.array([i > 0 and TELL.match(chr(i - 1)) is not None for i in range(CHARS)])
 
 
 @dataclass(frozen=True)
 class Settings:
-    """``sample_docs``: so many documents at most are searched for labelled spans, ``sample_windows`` windows at most are learned from."""
+    """``sample_docs``: so many documents at most are searched for labelled spans, ``sample_windows`` windows at most are learned from.
+
+    Of windows without a label, a digit and an ``@``, which are nearly all, one in ``plain`` may be learned from.
+    """
 
     hidden: int = 16
     window: int = 96
@@ -96,13 +100,16 @@ class Settings:
     batch: int = 32
     sample_docs: int = 20_000
     sample_windows: int = 1600
+    plain: int = 256
 
 
 def codes(text: str) -> np.ndarray:
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     out = (points + 1).astype(np.int64)
-    for i in np.flatnonzero(points > 127):
-        out[i] = 129 if chr(points[i]).isalpha() else 130
+    other = points > 127
+    if other.any():
+        kinds, at = np.unique(points[other], return_inverse=True)
+        out[other] = np.array([129 if chr(c).isalpha() else 130 for c in kinds])[at]
     return out
 
 
@@ -194,6 +201,60 @@ class Tagger:
             out[:, t - 1] = back[t][np.arange(n), out[:, t]]
         return out
 
+    def _states(self, x: np.ndarray, d: str, both: np.ndarray) -> None:
+        """The states that _run gives but for rounding, written into ``both``; tanh(v) is taken as 2 / (1 + exp(-2v)) - 1, which numpy does faster."""
+        n, length = x.shape
+        h = self.h
+        scale = -np.concatenate([np.ones(3 * h), np.full(h, 2.0)]).astype(np.float32)
+        table, u = (self.p[f"x{d}"] + self.p[f"c{d}"]) * scale, self.p[f"u{d}"] * scale
+        state, cell = np.zeros((n, h), np.float32), np.zeros((n, h), np.float32)
+        a, b, c, columns = np.empty((n, 4 * h), np.float32), np.empty((n, 4 * h), np.float32), np.empty((n, h), np.float32), np.ascontiguousarray(x.T, dtype=np.intp)
+        with np.errstate(over="ignore"):
+            for t in range(length) if d == "f" else range(length - 1, -1, -1):
+                np.take(table, columns[t], axis=0, out=a, mode="clip")
+                np.matmul(state, u, out=b)
+                a += b
+                np.exp(a, out=a)
+                a += 1.0
+                np.reciprocal(a, out=a)
+                np.multiply(a[:, 3 * h :], 2.0, out=c)
+                c -= 1.0
+                c *= a[:, h : 2 * h]
+                cell *= a[:, :h]
+                cell += c
+                np.multiply(cell, -2.0, out=state)
+                np.exp(state, out=state)
+                state += 1.0
+                np.divide(2.0, state, out=state)
+                state -= 1.0
+                state *= a[:, 2 * h : 3 * h]
+                both[t] = state
+
+    def decode(self, x: np.ndarray) -> np.ndarray:
+        """What viterbi gives, all windows' tags. Windows whose all-outside path provably outweighs every other skip the search for the best path."""
+        n, length = x.shape
+        both = np.empty((length, n, 2 * self.h), np.float32)
+        self._states(x, "f", both[:, :, : self.h])
+        self._states(x, "b", both[:, :, self.h :])
+        o, ob = self.p["o"], self.p["ob"]
+        # how much any other tag gains on outside, and the most that the moves into, within and out of other tags gain
+        gain = ((o[:, 1:] - o[:, :1]).T @ both.reshape(-1, 2 * self.h).T + (ob[1:] - ob[:1])[:, None]).reshape(TAGS - 1, length, n)
+        move = self.p["t"] + self.bar
+        move = move - move[0, 0]
+        enter, start = move[0, 1:, None, None], (self.p["s"][1:] - self.p["s"][0])[:, None]
+        first, rest = (gain + enter).max(axis=0), gain.max(axis=0) + move[1:, 1:].max()
+        first[0] = (gain[:, 0] + start).max(axis=0)
+        leave = max(0.0, float(move[1:, 0].max()))
+        run, most = first[0], first[0].copy()
+        for t in range(1, length):
+            run = np.maximum(first[t], run + rest[t])
+            np.maximum(most, run, out=most)
+        out = np.zeros((n, length), np.int8)
+        open_ = np.flatnonzero(~(most + leave < -0.01))
+        if len(open_):
+            out[open_] = self.viterbi(x[open_])
+        return out
+
     def learn(self, x: np.ndarray, y: np.ndarray, rate: float) -> float:
         e, both, kf, kb = self.scores(x, keep=True)
         length, n, _ = e.shape
@@ -255,37 +316,42 @@ class Tagger:
         return self
 
 
-def windows(n: int, tells: np.ndarray, s: Settings) -> list[int]:
-    """Starts of the overlapping windows over n characters in which one of the positions ``tells`` lies."""
-    starts = range(0, max(1, n - s.window + s.stride), s.stride)
-    return [a for a in starts if np.searchsorted(tells, a) < np.searchsorted(tells, a + s.window)]
+def windows(n: int, s: Settings) -> range:
+    """Starts of the overlapping windows that cover n characters."""
+    return range(0, max(1, n - s.window + s.stride), s.stride)
+
+
+def cut_windows(x: np.ndarray, s: Settings) -> np.ndarray:
+    """The windows over x, one a row, the last padded with zeros."""
+    starts = windows(len(x), s)
+    padded = np.zeros(starts[-1] + s.window, dtype=x.dtype)
+    padded[: len(x)] = x
+    return np.lib.stride_tricks.sliding_window_view(padded, s.window)[:: s.stride]
 
 
 def tag(texts: list[str], model: Tagger, s: Settings) -> list[list[Span]]:
-    """Spans of the tagger in whole texts, holding a digit or ``@`` each."""
-    owner, starts, pieces, coded = [], [], [], []
+    """Spans of the tagger in whole texts."""
+    owner, starts, coded, pieces = [], [], [], []
     for i, text in enumerate(texts):
-        coded.append(None)
-        if not TELL.search(text):
-            continue
-        tells = np.fromiter((m.start() for m in TELL.finditer(text)), dtype=np.int64)
-        x = coded[i] = codes(text)
-        for a in windows(len(x), tells, s):
-            piece = np.zeros(s.window, dtype=np.int64)
-            part = x[a : a + s.window]
-            piece[: len(part)] = part
-            owner.append(i)
-            starts.append(a)
-            pieces.append(piece)
+        coded.append(codes(text).astype(np.uint8))
+        if text:
+            at = windows(len(text), s)
+            owner += [i] * len(at)
+            starts += at
+            pieces.append(cut_windows(coded[i], s))
     found: list[list[Span]] = [[] for _ in texts]
     if not pieces:
         return found
-    stacked = np.stack(pieces)
-    decoded = np.concatenate([model.viterbi(stacked[k : k + 512]) for k in range(0, len(stacked), 512)])
+    stacked = np.concatenate(pieces)
+    decoded = np.concatenate([model.decode(stacked[k : k + 512]) for k in range(0, len(stacked), 512)])
+    marked = {owner[k] for k in np.flatnonzero(decoded.any(axis=1))}
     depth = np.minimum(np.arange(s.window), np.arange(s.window)[::-1])
     k = 0
     while k < len(owner):
         i, n = owner[k], len(coded[owner[k]])
+        if i not in marked:
+            k += len(windows(n, s))
+            continue
         tags, deepest = np.zeros(n, dtype=np.int64), np.full(n, -1)
         while k < len(owner) and owner[k] == i:
             a = starts[k]
@@ -299,7 +365,7 @@ def tag(texts: list[str], model: Tagger, s: Settings) -> list[list[Span]]:
             tags[a : a + m][wins] = decoded[k][:m][wins]
             deepest[a : a + m][wins] = own[wins]
             k += 1
-        found[i] = [x for x in spans_of(tags) if TELL.search(texts[i], x[1], x[2])]
+        found[i] = spans_of(tags)
     return found
 
 
@@ -311,7 +377,7 @@ def merged(text: str, base: list[Span], more: list[Span]) -> list[Span]:
             start += 1
         while end > start and text[end - 1].isspace():
             end -= 1
-        if end - start >= 4 and TELL.search(text, start, end) and all(end <= a or b <= start for _, a, b in base):
+        if end - start >= 4 and all(end <= a or b <= start for _, a, b in base):
             out.append((kind, start, end))
     return in_order(out)
 
@@ -351,12 +417,11 @@ def fit(docs: DataFrame, s: Settings | None = None) -> Tagger:
                 rng = np.random.default_rng(abs(hash(key)) % (1 << 32))
                 for copy, own in ((text, spans), disguised(text, spans, rng)) if spans else ((text, spans),):
                     x, y = codes(copy), tags_of(len(copy), own)
-                    tells = np.fromiter((m.start() for m in TELL.finditer(copy)), dtype=np.int64)
-                    for a in windows(len(x), tells, s):
-                        piece = np.zeros((2, s.window), dtype=np.int64)
-                        piece[0, : len(x) - a] = x[a : a + s.window]
-                        piece[1, : len(x) - a] = y[a : a + s.window]
-                        rows.append((piece[0], piece[1], hashlib.md5(piece.tobytes()).hexdigest()))
+                    told = cut_windows((y > 0) | TELLS[x], s).any(axis=1)
+                    for piece, telling in zip(np.stack([cut_windows(x, s), cut_windows(y, s)], axis=1), told, strict=True):
+                        key = hashlib.md5(piece.tobytes()).digest()
+                        if telling or int.from_bytes(key[-4:], "little") % s.plain == 0:
+                            rows.append((piece[0], piece[1], key.hex()))
             return [r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows]
 
         return batch
@@ -372,7 +437,7 @@ def fit(docs: DataFrame, s: Settings | None = None) -> Tagger:
                 model.learn(x[order[k : k + s.batch]], y[order[k : k + s.batch]], s.rate * 0.85**epoch)
         return pd.DataFrame({"model": [pickle.dumps(model.frozen())]})
 
-    cuts = map_rows(chosen.where(F.col("text").rlike("[0-9@]")), ["doc_id", "text"], "x array<int>, y array<int>, key string", cut)
+    cuts = map_rows(chosen.where("text <> ''"), ["doc_id", "text"], "x array<int>, y array<int>, key string", cut)
     few = cuts.orderBy("key").limit(s.sample_windows)  # the bound on what is learned from
     got = few.groupBy().applyInPandas(train, "model binary").collect()
     if not got:
