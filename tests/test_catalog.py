@@ -12,6 +12,7 @@ import duckdb
 import pytest
 
 from tidemark import catalog
+from tidemark.operators import lineage
 
 SF = os.environ.get("CATALOG_SF_DIR", "/root/testdata/sf0.001")
 
@@ -59,3 +60,14 @@ def test_query_matches_sql(spark, duck, name):
     names = [c[0] for c in want.description]
     assert sorted(df.columns) == sorted(names)
     assert got == rows(names, want.fetchall())
+
+
+def test_closure_reaches_the_root_of_any_chain(spark):
+    chain = [("t", "d", "a", i, f"m{i}", f"m{i - 1}" if i else "") for i in range(500)]
+    other = [("t", "d", "b", 1, "m1", ""), ("t", "d", "b", 2, "m2", "m1"), ("t", "d", "b", 3, "m3", "elsewhere")]
+    circle = [("t", "d", "c", 1, "m1", "m2"), ("t", "d", "c", 2, "m2", "m1"), ("t", "d", "c", 3, "m3", "m2"), ("t", "d", "c", 4, "m4", "m4"), ("t", "d", "c", 5, "m5", "")]
+    log = spark.createDataFrame(chain + other + circle, "tenant_id string, domain string, aggregate_id string, sequence_number long, message_id string, causation_id string")
+    got = {(r.aggregate_id, r.message_id): (r.root, r.depth) for r in lineage.closure(log).collect()}
+    want = {("a", f"m{i}"): ("m0", i) for i in range(500)} | {("b", "m1"): ("m1", 0), ("b", "m2"): ("m1", 1), ("b", "m3"): ("m3", 0)}
+    assert got == want | {("c", f"m{i}"): (None, None) for i in range(1, 5)} | {("c", "m5"): ("m5", 0)}
+    assert lineage.closure(log.limit(0)).count() == 0

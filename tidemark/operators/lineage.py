@@ -15,22 +15,29 @@ def direct(log: DataFrame) -> DataFrame:
     return cause.join(effect, [*ID, "cause"])
 
 
-def closure(log: DataFrame, most: int = 64) -> DataFrame:
-    """Every event with the root of its chain and its depth, by pointer doubling: log2 of the deepest chain joins.
+def _held(df: DataFrame) -> DataFrame:
+    """The rows computed once and kept: in the session's checkpoint folder, or on the executors where it has none."""
+    return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df.localCheckpoint()
 
-    Each turn's pointers are checkpointed where the session has a checkpoint folder, so plans stay short.
+
+def closure(log: DataFrame) -> DataFrame:
+    """Every event with the root of its chain and its depth, by pointer doubling until no pointer's target has a cause: log2 of the deepest chain joins, and one.
+
+    Each turn's pointers are checkpointed, so plans stay short. An event on or behind a circle of causes has no root: its root and depth are null.
     """
     edges = direct(log)
     now = log.select(*ID, "message_id").join(edges.select(*ID, F.col("effect").alias("message_id"), "cause"), [*ID, "message_id"], "left")
-    now = now.select(*ID, "message_id", F.coalesce("cause", "message_id").alias("root"), F.when(F.col("cause").isNull(), 0).otherwise(1).cast("long").alias("depth"))
+    now = _held(now.select(*ID, "message_id", F.coalesce("cause", "message_id").alias("root"), F.when(F.col("cause").isNull(), 0).otherwise(1).cast("long").alias("depth")))
+    longest = now.groupBy(*ID).count().agg(F.max("count")).first()[0] or 0
     reach = 1
-    while reach < most:
+    while True:
         up = now.select(*ID, F.col("message_id").alias("root"), F.col("root").alias("over"), F.col("depth").alias("more"))
-        now = now.join(up, [*ID, "root"]).select(*ID, "message_id", F.col("over").alias("root"), (F.col("depth") + F.col("more")).alias("depth"))
+        now = _held(now.join(up, [*ID, "root"]).select(*ID, "message_id", F.col("over").alias("root"), (F.col("depth") + F.col("more")).alias("depth"), (F.col("more") > 0).alias("moved")))
+        if now.where("moved").isEmpty():
+            return now.drop("moved")
+        if reach >= longest:  # no chain is longer than its stream, so what still moves goes round
+            return now.select(*ID, "message_id", *(F.when(~F.col("moved"), F.col(c)).alias(c) for c in ("root", "depth")))
         reach *= 2
-        if now.sparkSession.conf.get("spark.checkpoint.dir", None):
-            now = now.checkpoint()
-    return now
 
 
 def trace(log: DataFrame, commands: DataFrame, newest: int = 10_000) -> DataFrame:
