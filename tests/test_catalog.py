@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import base64
 import datetime
 import decimal
+import hashlib
 import math
 import os
+import struct
 from pathlib import Path
 
 import duckdb
 import pytest
 
 from tidemark import catalog
-from tidemark.operators import lineage
+from tidemark.operators import lineage, projections
 
 SF = os.environ.get("CATALOG_SF_DIR", "/root/testdata/sf0.001")
 
@@ -71,3 +74,37 @@ def test_closure_reaches_the_root_of_any_chain(spark):
     want = {("a", f"m{i}"): ("m0", i) for i in range(500)} | {("b", "m1"): ("m1", 0), ("b", "m2"): ("m1", 1), ("b", "m3"): ("m3", 0)}
     assert got == want | {("c", f"m{i}"): (None, None) for i in range(1, 5)} | {("c", "m5"): ("m5", 0)}
     assert lineage.closure(log.limit(0)).count() == 0
+
+
+def test_prefix_fingerprint_is_the_plain_fold(spark):
+    columns = ("tenant_id", "domain", "aggregate_id", "sequence_number", "message_id", "event_type_name", "payload", "correlation_id", "ts", "serialization_format", "user_id")
+    schema = ", ".join(f"{c} {'long' if c == 'sequence_number' else 'timestamp_ntz' if c == 'ts' else 'string'}" for c in columns)
+    first = datetime.datetime(2024, 3, 31, 2, 30, 0, 123457)
+    rows = [("t", "d", f"a{i // 5}", i % 5 + 1, f"m{i}", "view", None if i % 4 == 1 else f"ü{i}", f"c{i}", first + datetime.timedelta(seconds=i), "json", "u") for i in range(10)]
+
+    def part(value):
+        raw = (value or "").encode()
+        return struct.pack("<i", -1 if value is None else len(raw)) + raw
+
+    def fold(rows):
+        state = {}
+        for t, d, a, n, message, kind, payload, correlation, ts, form, user in rows:
+            delta = ts - datetime.datetime(1, 1, 1)
+            clock = ((delta.days * 86400 + delta.seconds) * 1_000_000 + delta.microseconds) * 10
+            told = struct.pack("<q", n) + part(message) + part(kind) + part(payload) + part(form) + struct.pack("<q", clock) + part(correlation) + part(user)
+            event = hashlib.sha256(b"hexalith.projection.delivery.event.v1" + told).digest()
+            prior = state.get(a) or hashlib.sha256(b"hexalith.projection.delivery.prefix.v1" + part(t) + part(d) + part(a) + part("counter")).digest()
+            state[a] = hashlib.sha256(b"hexalith.projection.delivery.step.v1" + prior + event).digest()
+        return {a: "v1:" + base64.urlsafe_b64encode(x).decode().rstrip("=") for a, x in state.items()}
+
+    def ours(rows, keep=columns, zoned=False):
+        log = spark.createDataFrame(rows, schema).select(*keep)
+        log = log.withColumn("ts", log["ts"].cast("timestamp")) if zoned else log
+        return {r.aggregate_id: r.fingerprint for r in projections.prefix_fingerprints(log, "counter").collect()}
+
+    want = fold(rows)
+    assert ours(rows) == want == ours(rows, zoned=True)
+    assert ours(rows, columns[:-2]) == fold([(*r[:-2], None, None) for r in rows])
+    for at, value in ((8, first), (9, "xml"), (10, "v")):
+        changed = [*rows[:3], (*rows[3][:at], value, *rows[3][at + 1 :]), *rows[4:]]
+        assert ours(changed) == fold(changed) and ours(changed)["a0"] != want["a0"] and ours(changed)["a1"] == want["a1"]

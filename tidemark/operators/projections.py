@@ -9,6 +9,7 @@ import struct
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.operators import folds
 from tidemark.sources.event_log import ID
@@ -55,6 +56,9 @@ def last_receipts(receipts: Column, most: int = 256) -> Column:
     return F.when(F.size(receipts) > most, F.slice(receipts, -most, most)).otherwise(receipts)
 
 
+EVENT, PREFIX, STEP = (f"hexalith.projection.delivery.{x}.v1".encode() for x in ("event", "prefix", "step"))
+
+
 def _part(value: str | bytes | None) -> bytes:
     if value is None:
         return struct.pack("<i", -1)
@@ -62,9 +66,21 @@ def _part(value: str | bytes | None) -> bytes:
     return struct.pack("<i", len(raw)) + raw
 
 
+def ticks(log: DataFrame) -> Column:
+    """The events' ``ts`` in steps of 100 ns since the year 1, UTC; a time without zone is taken as UTC. Null is -1."""
+    if isinstance(log.schema["ts"].dataType, T.TimestampNTZType):
+        micros = F.expr("cast(cast(cast(ts - TIMESTAMP_NTZ'1970-01-01 00:00:00' as interval second) as decimal(20, 6)) * 1000000 as bigint)")
+    else:
+        micros = F.unix_micros("ts")
+    return F.coalesce(micros * 10 + F.lit(621_355_968_000_000_000), F.lit(-1))
+
+
 def prefix_fingerprints(log: DataFrame, name: str) -> DataFrame:
     """A hash chain over each stream's events: fingerprint of the prefix up to its head.
 
+    An event's digest covers sequence, message id, type, payload, format, ticks, correlation and user; format
+    (``serialization_format``) and user (``user_id``) are null where the log has no such column.
+
     The chain is sequential within a stream, so a stream's rows meet in one task; only the digest is carried
     from batch to batch, whatever its length.
     """
@@ -82,13 +98,15 @@ def prefix_fingerprints(log: DataFrame, name: str) -> DataFrame:
                 if key != now:
                     if now is not None:
                         done.append((*now, last, text(state)))
-                    now, state = key, hashlib.sha256(b"prefix" + _part(":".join(key)) + _part(name)).digest()
-                event = hashlib.sha256(b"event" + struct.pack("<q", r.sequence_number) + _part(r.message_id) + _part(r.event_type_name) + _part(r.payload) + _part(r.correlation_id)).digest()
-                state, last = hashlib.sha256(b"step" + state + event).digest(), r.sequence_number
+                    now, state = key, hashlib.sha256(PREFIX + b"".join(map(_part, (*key, name)))).digest()
+                told = _part(r.message_id) + _part(r.event_type_name) + _part(r.payload) + _part(r.format)
+                event = hashlib.sha256(EVENT + struct.pack("<q", r.sequence_number) + told + struct.pack("<q", r.ticks) + _part(r.correlation_id) + _part(r.user)).digest()
+                state, last = hashlib.sha256(STEP + state + event).digest(), r.sequence_number
             if done:
                 yield pd.DataFrame(done, columns=["tenant_id", "domain", "aggregate_id", "sequence_number", "fingerprint"])
         if now is not None:
             yield pd.DataFrame([(*now, last, text(state))], columns=["tenant_id", "domain", "aggregate_id", "sequence_number", "fingerprint"])
 
-    dealt = log.select(*ID, "sequence_number", "message_id", "event_type_name", "payload", "correlation_id").repartition(*ID).sortWithinPartitions(*ID, "sequence_number")
+    kept = [(F.col(c) if c in log.columns else F.lit(None)).cast("string").alias(own) for c, own in (("serialization_format", "format"), ("user_id", "user"))]
+    dealt = log.select(*ID, "sequence_number", "message_id", "event_type_name", "payload", "correlation_id", ticks(log).alias("ticks"), *kept).repartition(*ID).sortWithinPartitions(*ID, "sequence_number")
     return dealt.mapInPandas(run, schema)
