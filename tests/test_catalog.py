@@ -16,6 +16,8 @@ import pytest
 
 from tidemark import catalog
 from tidemark.operators import lineage, projections
+from tidemark.sources import event_log as el
+from tidemark.streaming import consumers
 
 SF = os.environ.get("CATALOG_SF_DIR", "/root/testdata/sf0.001")
 
@@ -108,3 +110,15 @@ def test_prefix_fingerprint_is_the_plain_fold(spark):
     for at, value in ((8, first), (9, "xml"), (10, "v")):
         changed = [*rows[:3], (*rows[3][:at], value, *rows[3][at + 1 :]), *rows[4:]]
         assert ours(changed) == fold(changed) and ours(changed)["a0"] != want["a0"] and ours(changed)["a1"] == want["a1"]
+
+
+def test_once_delivers_what_its_batch_form_does(spark, tmp_path):
+    path = str(tmp_path / "log")
+    el.with_repeats(el.load(spark, SF)).write.parquet(path)
+    log = spark.read.parquet(path)
+    got = []
+    stream = consumers.once(consumers.read_stream(spark, path, log.schema))
+    consumers.deliver(stream, lambda batch, _: got.extend(batch.collect()), str(tmp_path / "checkpoint")).awaitTermination()
+    want = consumers.once_of_all(log)
+    assert rows(log.columns, got) == rows(want.columns, want.collect()) == rows(log.columns, el.load(spark, SF).collect())
+    assert log.count() > len(got)

@@ -21,6 +21,11 @@ def once(stream: DataFrame, delay: str = "1 hour") -> DataFrame:
     return stream.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", delay).dropDuplicatesWithinWatermark(["message_id"]).drop("at")
 
 
+def once_of_all(log: DataFrame) -> DataFrame:
+    """The batch form: each message once, over the whole log."""
+    return log.dropDuplicates(["message_id"])
+
+
 def classify(stream: DataFrame, known: tuple[str, ...]) -> DataFrame:
     """A column ``problem`` of rows that can't be handled (unknown type, payload that isn't JSON); null for the rest."""
     problem = F.when(~F.col("event_type_name").isin(*known), "UnknownEventType").when(F.try_parse_json("payload").isNull(), "InvalidPayload")
