@@ -73,14 +73,41 @@ def _own_folder() -> str:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; one of our own only where it is unset (tests)."""
+    """The folder that spark.checkpoint.dir names. Only a session that runs on this machine alone may leave it unset, and gets a folder of our own."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().getOrElse(None)
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return folder or f"file://{_own_folder()}"
 
 
+class Scratch:
+    """Tables written to the shared folder on the way to a result; ``drop`` deletes them once nothing reads them any more."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths, self.parts = spark, [], []
+
+    def part(self) -> Scratch:
+        """Tables that may be dropped sooner, and are dropped with the rest."""
+        self.parts.append(Scratch(self.spark))
+        return self.parts[-1]
+
+    def write(self, df: DataFrame) -> DataFrame:
+        """The rows, written and read back: lineage ends at files that outlive executors."""
+        path = f"{shared_folder(self.spark)}/tidemark-{uuid.uuid4().hex}"
+        self.paths.append(path)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        for part in self.parts:
+            part.drop()
+        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
+        for path in self.paths:
+            own = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            own.getFileSystem(conf).delete(own, True)
+        self.paths = []
+
+
 def materialise(df: DataFrame) -> DataFrame:
-    """Write rows to the shared folder and read them back: lineage ends at files that outlive executors."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/tidemark-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """``Scratch.write`` for a table that a result goes on reading, so that it stays."""
+    return Scratch(df.sparkSession).write(df)
