@@ -2,8 +2,12 @@
 
 Every language has a probability for each piece of one fixed public vocabulary. A word's likelihood is
 the sum over *all* its segmentations into pieces, which a forward pass computes; a text's is the
-product over its words. The piece probabilities are fitted by EM: the E-step (forward-backward over
-distinct words) runs in tasks and only sums by piece, of which there are a fixed number, reach the driver.
+product over its words. Words are runs of letters in lower case, so of the vocabulary's pieces those of
+lower-case letters, with or without the mark of a word's start, are the ones that can occur; all of these are
+used, whatever their length. A character that is no piece by itself may also stand alone, at a fixed small
+probability; learning and scoring sum over the same segmentations. The piece probabilities are fitted by EM:
+the E-step (forward-backward over distinct whole words) runs in tasks and only sums by piece, of which there
+are a fixed number, reach the driver.
 """
 
 from __future__ import annotations
@@ -25,6 +29,8 @@ START = "▁"
 CACHE_WORDS = 1_000_000
 #: Words that take their steps together, and the longest of them; longer ones go alone, rescaled as they go.
 RUN_WORDS, SHORT = 4_000, 36
+#: Products below are worked out again, by logarithms or rescaled.
+TINY = 1e-250
 
 
 @dataclass(frozen=True)
@@ -35,7 +41,6 @@ class Settings:
     rounds: int = 3
     pooled: float = 300.0
     unseen: float = 1e-7
-    max_piece: int = 12
 
 
 @dataclass
@@ -107,41 +112,75 @@ class Model:
                 edges = np.flatnonzero(np.diff(own, prepend=-1))
                 alpha[own[edges], i] = np.add.reduceat(step, edges, axis=0)
         ends = np.array([len(words[at]) + 1 for at in short], dtype=np.int64)
-        out[short] = np.log(np.maximum(alpha[np.arange(len(short)), ends], 1e-300))
+        last = alpha[np.arange(len(short)), ends]
+        out[short] = np.log(np.maximum(last, 1e-300))
+        tiny = {at for at, low in zip(short, last.min(axis=1), strict=True) if low < TINY}
         for k, w in enumerate(words):
-            if len(w) > SHORT:
+            if len(w) > SHORT or k in tiny:
                 out[k] = self.word(w)
         return out
 
 
-def read_pieces(path: str, longest: int) -> list[str]:
+def read_pieces(path: str) -> list[str]:
     """The vocabulary's lower-case pieces of letters, with the mark of a word's start where they have it."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     found = {model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))}
-    return sorted(p for p in found if len(p) <= longest and p == p.lower() and (p == START or p.removeprefix(START).isalpha()))
+    return sorted(p for p in found if p == p.lower() and (p == START or p.removeprefix(START).isalpha()))
 
 
-def expected(words: list[tuple[str, str, int]], pieces: dict[str, dict[str, float]], longest: int, unseen: float) -> dict[tuple[str, str], float]:
-    """E-step: how often each piece is expected in the counted words of each language (forward-backward)."""
-    out: dict[tuple[str, str], float] = defaultdict(float)
-    for lang, word, count in words:
-        prob, text = pieces[lang], START + word[:64]
-        n = len(text)
-        arcs = [[(j, p) for j in range(max(0, i - longest), i) if (p := prob.get(text[j:i]))] or [(i - 1, unseen)] for i in range(1, n + 1)]
-        ahead = [1.0] + [0.0] * n
-        for i, own in enumerate(arcs, 1):
-            ahead[i] = sum(ahead[j] * p for j, p in own)
+def arcs_of(text: str, prob: dict[str, float], longest: int, unseen: float) -> list[list[tuple[int, float]]]:
+    """(start, probability) of the pieces that end at each character; one that is no piece may stand alone."""
+    out = []
+    for i in range(1, len(text) + 1):
+        own = [(j, p) for j in range(max(0, i - longest), i) if (p := prob.get(text[j:i]))]
+        if text[i - 1] not in prob:
+            own.append((i - 1, unseen))
+        out.append(own)
+    return out
+
+
+def log_sum(x: list[float]) -> float:
+    top = max(x)
+    return top + math.log(sum(math.exp(v - top) for v in x))
+
+
+def shares(arcs: list[list[tuple[int, float]]]) -> list[list[float]]:
+    """The share of a word's probability that runs over each arc (forward-backward); by logarithms where products get too small."""
+    n = len(arcs)
+    ahead = [1.0] + [0.0] * n
+    for i, own in enumerate(arcs, 1):
+        ahead[i] = sum(ahead[j] * p for j, p in own)
+    if ahead[n] > TINY:
         back = [0.0] * n + [1.0]
         for i in range(n, 0, -1):
             for j, p in arcs[i - 1]:
                 back[j] += back[i] * p
-        if ahead[n] > 1e-290:
-            share = count / ahead[n]
-            for i, own in enumerate(arcs, 1):
-                for j, p in own:
-                    out[lang, text[j:i]] += ahead[j] * p * back[i] * share
+        return [[ahead[j] * p * back[i] / ahead[n] for j, p in own] for i, own in enumerate(arcs, 1)]
+    ahead = [0.0]
+    for own in arcs:
+        ahead.append(log_sum([ahead[j] + math.log(p) for j, p in own]))
+    out: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
+    for i, own in enumerate(arcs, 1):
+        for j, p in own:
+            out[j].append((i, math.log(p)))
+    back = [0.0] * (n + 1)
+    for j in range(n - 1, -1, -1):  # a place that no piece leaves is on no segmentation
+        back[j] = log_sum([back[i] + p for i, p in out[j]]) if out[j] else -math.inf
+    return [[math.exp(ahead[j] + math.log(p) + back[i] - ahead[n]) for j, p in own] for i, own in enumerate(arcs, 1)]
+
+
+def expected(words: list[tuple[str, str, int]], pieces: dict[str, dict[str, float]], longest: int, unseen: float) -> dict[tuple[str, str], float]:
+    """E-step: how often each piece is expected in the counted words of each language."""
+    out: dict[tuple[str, str], float] = defaultdict(float)
+    for lang, word, count in words:
+        text = START + word
+        arcs = arcs_of(text, pieces[lang], longest, unseen)
+        for i, (own, share) in enumerate(zip(arcs, shares(arcs), strict=True), 1):
+            for (j, _), x in zip(own, share, strict=True):
+                if x:
+                    out[lang, text[j:i]] += count * x
     return out
 
 
@@ -168,7 +207,7 @@ def fit(rows: DataFrame, path: str, s: Settings | None = None) -> Model:
         return batch
 
     counted = map_rows(chosen, ["lang", "text"], "lang string, word string, n long", split).groupBy("lang", "word").agg(F.sum("n").alias("n")).persist()
-    names = read_pieces(path, s.max_piece)
+    names = read_pieces(path)
     longest = max(map(len, names))
     prob = {lang: dict.fromkeys(names, 1.0 / len(names)) for lang in langs}
     for _ in range(s.rounds):
@@ -196,10 +235,11 @@ def fit(rows: DataFrame, path: str, s: Settings | None = None) -> Model:
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, lang_pred, score of each whole text.
+    """doc_id, lang_pred, score of each whole text, a row for each row; a table without rows gives none.
 
     ``und`` with score 0 where the text is null or has no letter, or no language was learned. The score
     is the posterior of the best language under equal priors; ties go to the first in alphabetical order.
+    Rows that repeat are judged alike. Only the id and text columns are read, so other names can't clash.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
