@@ -4,14 +4,19 @@ Texts are lower-cased and their white space is made single. Benchmark items are
 pieces of ``piece`` characters; a document region leaks a piece if it can be turned into it with at most
 ``budget`` edits. By the q-gram lemma such a region shares at least ``piece + 1 - q * (budget + 1)`` q-grams
 with the piece, on diagonals no more than ``budget`` apart. So q-gram hits are counted in overlapping
-diagonal bands, bands that reach the bound are kept, and banded alignment verifies them: no leak is lost.
+diagonal bands, bands that reach the bound are kept, and banded alignment verifies them: no region that leaks
+a piece is lost. Pieces begin so close to each other that any ``least`` characters in a row of an item hold a
+whole one: whatever copies that much of an item, with at most ``budget`` edits, is found. Items below
+``piece`` characters are one piece, found where they are copied whole.
 
 The index over the benchmark is broadcast only below ``broadcast_chars``; a larger benchmark is dealt into
-groups of items below that bound, and one pass over the documents is made for each group.
+groups of items below that bound, one at a time in the driver, and each group is looked for in a pass of its
+own over the documents.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,11 +31,11 @@ BITS = 22
 
 @dataclass(frozen=True)
 class Settings:
-    """Pieces shorter than ``piece`` (items below that length) get a budget in proportion; items under ``shortest`` characters can't leak."""
+    """``least``: copied runs of so many characters are always found. Pieces shorter than ``piece`` (items below that length) get a budget in proportion; items under ``shortest`` characters can't leak."""
 
     q: int = 9
     piece: int = 80
-    step: int = 40
+    least: int = 100
     budget: int = 6
     shortest: int = 30
     broadcast_chars: int = 16_000_000
@@ -90,7 +95,7 @@ def build(items: list[tuple[int, str]], s: Settings) -> Index:
         budget = min(s.budget, length * s.budget // s.piece)
         while budget and length + 1 - s.q * (budget + 1) < 1:
             budget -= 1
-        starts = [*range(0, n - length, s.step), n - length]
+        starts = [*range(0, n - length, s.least - s.piece + 1), n - length]
         pieces += [(item, a, text[a : a + length], budget, length + 1 - s.q * (budget + 1)) for a in dict.fromkeys(starts)]
     hashes = [grams(points(p[2]), s.q) for p in pieces]
     every = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
@@ -204,18 +209,30 @@ def regions(text: str, x: np.ndarray, h: np.ndarray, index: Index) -> list[tuple
     return sorted(out)
 
 
-def groups(benchmark: DataFrame, s: Settings) -> list[list[tuple[int, str]]]:
-    """Items with their normal texts, dealt into groups whose index is small enough to broadcast. Null and short items are left out."""
+def groups(benchmark: DataFrame, s: Settings) -> Iterator[list[tuple[int, str]]]:
+    """Items with their normal texts, one group whose index is small enough to broadcast at a time. Null and short items are left out."""
     rows = benchmark.select("item_id", "text").where(F.length("text") >= s.shortest).distinct()
-    out: list[list[tuple[int, str]]] = [[]]
+    own: list[tuple[int, str]] = []
     size = 0
     for r in rows.orderBy("item_id", "text").toLocalIterator():
-        if size and size + len(r["text"]) > s.broadcast_chars:
-            out.append([])
-            size = 0
-        out[-1].append((r["item_id"], normal(r["text"])))
+        if own and size + len(r["text"]) > s.broadcast_chars:
+            yield own
+            own, size = [], 0
+        own.append((r["item_id"], normal(r["text"])))
         size += len(r["text"])
-    return out
+    if own:
+        yield own
+
+
+def looked_for(text: str | None, index: Index, q: int) -> list[tuple[int, int, int, int]]:
+    """The leaking regions of a whole text as it stands."""
+    if not text or not index.pieces or len(text := normal(text)) < q:
+        return []
+    x = points(text)
+    return regions(text, x, grams(x, q), index)
+
+
+FOUND = "doc_id long, item_id long, start long, end long, edits int"
 
 
 def find(docs: DataFrame, benchmark: DataFrame, s: Settings | None = None) -> DataFrame:
@@ -225,32 +242,43 @@ def find(docs: DataFrame, benchmark: DataFrame, s: Settings | None = None) -> Da
     Only the id and text columns are read.
     """
     s = s or Settings()
-    found = None
-    for items in groups(benchmark, s):
-        shared = docs.sparkSession.sparkContext.broadcast(build(items, s))
+    spark = docs.sparkSession
+    found = spark.createDataFrame([], FOUND)
+    for k, items in enumerate(groups(benchmark, s)):
+        shared = spark.sparkContext.broadcast(build(items, s))
 
         def make(shared=shared):
-            index: Index = shared.value
-
             def batch(keys, texts):
-                out = []
-                for key, text in zip(keys, texts, strict=True):
-                    if text and index.pieces and len(text := normal(text)) >= s.q:
-                        x = points(text)
-                        out += [(key, *r) for r in regions(text, x, grams(x, s.q), index)]
+                out = [(key, *r) for key, text in zip(keys, texts, strict=True) for r in looked_for(text, shared.value, s.q)]
                 return [list(c) for c in zip(*out, strict=True)] if out else [[]] * 5
 
             return batch
 
-        part = map_rows(docs, ["doc_id", "text"], "doc_id long, item_id long, start long, end long, edits int", make)
-        found = part if found is None else found.unionByName(part)
+        part = map_rows(docs, ["doc_id", "text"], FOUND, make)
+        found = found.unionByName(part) if k else part
     return found
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, s: Settings | None = None) -> DataFrame:
-    """The documents in which no region leaks, with all their columns; a null doc_id or text is kept."""
-    leaks = find(docs.where(F.col("doc_id").isNotNull()), benchmark, s).select("doc_id").distinct()
-    return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
+    """The rows whose own text has no leaking region, with all their columns, in the same pass that looks for it: nothing is shuffled.
+
+    Null and empty texts are kept, with an empty benchmark all are; of rows that repeat a doc_id each is judged by its text.
+    """
+    s = s or Settings()
+    names, at = docs.columns, docs.columns.index("text")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    for items in groups(benchmark, s):
+        shared = docs.sparkSession.sparkContext.broadcast(build(items, s))
+
+        def make(shared=shared):
+            def batch(*columns):
+                kept = [not looked_for(text, shared.value, s.q) for text in columns[at]]
+                return [[v for v, k in zip(c, kept, strict=True) if k] for c in columns]
+
+            return batch
+
+        docs = map_rows(docs, names, schema, make)
+    return docs
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
