@@ -2,7 +2,8 @@
 
 A message is a list of parts: text, image, audio or document. A visitor flattens them in order: texts are
 escaped, everything else becomes a placeholder, an attachment record and the number of tokens that the
-placeholder expands to. Turns stand between marks; control strings inside texts are broken by a backslash
+placeholder expands to. A null part counts as an empty text; a part of another kind keeps its kind and
+reference in its record, stands as a placeholder of its own and expands to one token. Turns stand between marks; control strings inside texts are broken by a backslash
 behind their first character and backslashes are doubled, so reading back restores every text.
 """
 
@@ -16,17 +17,24 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.llm.common import arrow_schema, map_rows, table
 
 PART = "struct<kind:string,text:string,ref:string,width:double,height:double,seconds:double,pages:double>"
 START, END = "<|turn|>", "<|end|>"
 PLACEHOLDER = {"image": "<|image|>", "audio": "<|audio|>", "document": "<|document|>"}
-CONTROL = (START, END, *PLACEHOLDER.values(), "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<|im_start|>", "<|im_end|>", "<|endoftext|>")
+OTHER = "<|attachment|>"
+CONTROL = (START, END, *PLACEHOLDER.values(), OTHER, "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<|im_start|>", "<|im_end|>", "<|endoftext|>")
 ESCAPE = re.compile(r"\\|" + "|".join(map(re.escape, CONTROL)))
 UNESCAPE = re.compile(r"\\(.)", re.DOTALL)
 TURN = re.compile(re.escape(START) + r"((?:[^\\\n]|\\.)*)\n(.*?)" + re.escape(END) + "\n", re.DOTALL)
-HOLDER = re.compile("|".join(map(re.escape, PLACEHOLDER.values())))
+HOLDER = re.compile("|".join(map(re.escape, (*PLACEHOLDER.values(), OTHER))))
+
+
+def sized(value: float | None, least: float) -> float:
+    """A size to reckon with: one that is missing, not finite or below ``least`` counts as ``least``."""
+    return value if value is not None and least < value < math.inf else least
 
 
 def escape(text: str) -> str:
@@ -39,7 +47,7 @@ def unescape(text: str) -> str:
 
 @dataclass(frozen=True)
 class Settings:
-    """Tokens an attachment expands to: by image patches, audio frames and document pages; unknown sizes count as one unit."""
+    """Tokens an attachment expands to: by image patches, audio frames and document pages; sizes that are missing, not finite or not positive count as one unit."""
 
     patch: int = 28
     frames: float = 25.0
@@ -62,29 +70,29 @@ class Visitor:
         self.out.append(text)
         self.length += len(text)
 
-    def visit(self, part: dict) -> None:
+    def visit(self, part: dict | None) -> None:
+        part = part or {}
         kind = part.get("kind") or "text"
         if kind == "text":
             start = self.length
             self.add(escape(part.get("text") or ""))
             if self.role in self.settings.loss_roles and self.length > start:
                 self.loss.append((start, self.length))
-        elif kind in PLACEHOLDER:
-            self.attached.append((self.length, kind, part.get("ref") or "", getattr(self, f"{kind}_tokens")(part)))
-            self.add(PLACEHOLDER[kind])
         else:
-            raise ValueError(f"unknown kind of part: {kind}")
+            count = getattr(self, f"{kind}_tokens")(part) if kind in PLACEHOLDER else 1
+            self.attached.append((self.length, kind, part.get("ref") or "", count))
+            self.add(PLACEHOLDER.get(kind, OTHER))
 
     def image_tokens(self, part: dict) -> int:
-        return math.ceil((part.get("width") or 1) / self.settings.patch) * math.ceil((part.get("height") or 1) / self.settings.patch)
+        return math.ceil(sized(part.get("width"), 1.0) / self.settings.patch) * math.ceil(sized(part.get("height"), 1.0) / self.settings.patch)
 
     def audio_tokens(self, part: dict) -> int:
-        return max(1, math.ceil((part.get("seconds") or 0) * self.settings.frames))
+        return max(1, math.ceil(sized(part.get("seconds"), 0.0) * self.settings.frames))
 
     def document_tokens(self, part: dict) -> int:
-        return max(1, math.ceil(part.get("pages") or 1)) * self.settings.page
+        return math.ceil(sized(part.get("pages"), 1.0)) * self.settings.page
 
-    def turn(self, parts: list[dict]) -> Visitor:
+    def turn(self, parts: list[dict | None]) -> Visitor:
         self.add(START + escape(self.role).replace("\n", "\\\n") + "\n")
         for part in parts:
             self.visit(part)
@@ -100,14 +108,16 @@ def read_back(formatted: str) -> list[tuple[str, str]]:
 def render(messages: DataFrame, s: Settings | None = None) -> DataFrame:
     """conv_id, turn, role, formatted, loss, attached, expanded_tokens of each message; no shuffle.
 
-    ``parts`` is an array of typed parts; without that column ``text`` is the only part. Null texts, roles and
-    parts count as empty. Spans and positions are code points in ``formatted``. Other columns are not read.
+    ``parts`` is an array of typed parts (structs with a kind); without such a column ``text`` is the only part.
+    Null texts, roles, parts and lists of parts count as empty. Spans and positions are code points in
+    ``formatted``. Messages that repeat are rendered again, no messages give no rows, other columns are not read.
     """
     s = s or Settings()
-    if "parts" not in messages.columns:
+    own = messages.schema["parts"].dataType if "parts" in messages.columns else None
+    if not (isinstance(own, T.ArrayType) and isinstance(own.elementType, T.StructType) and "kind" in own.elementType.names):
         one = F.struct(F.lit("text").alias("kind"), F.col("text").alias("text"))
         messages = messages.withColumn("parts", F.array(one))
-    schema = "conv_id long, turn long, role string, formatted string, loss array<struct<start:int,end:int>>, attached array<struct<position:int,kind:string,ref:string,tokens:int>>, expanded_tokens long"
+    schema = "conv_id long, turn long, role string, formatted string, loss array<struct<start:int,end:int>>, attached array<struct<position:int,kind:string,ref:string,tokens:long>>, expanded_tokens long"
 
     def make():
         def batch(convs, turns, roles, parts):
@@ -128,7 +138,8 @@ def conversations(rendered: DataFrame) -> DataFrame:
     """What is read back from the formatted turns of each conversation, in order of turn, then formatted text.
 
     A digest of a conversation needs its turns in order, so they meet in one task; they stream through it
-    sorted, and only the digests' states are held, however long a conversation is.
+    sorted, and only the digests' states are held, however long a conversation is. Messages that repeat are
+    turns of their own; a null conv_id is a conversation like any other; no rows give none.
     """
     schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_attachments long, expanded_tokens long"
     arrow = arrow_schema(schema)
