@@ -1,9 +1,8 @@
 """Toxicity by FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
-Training hashes a bounded sample of labelled rows in parallel, deals the indices to shards and lets each run the
-online updates (per-coordinate rates, L1 and L2) in a task of its own; the shards' sparse weights are
-averaged. L1 leaves few weights, so the model is broadcast whatever the corpus holds; scoring is one
-pass without a shuffle.
+Training hashes a bounded sample of labelled rows in parallel; the online updates (per-coordinate rates, L1 and
+L2), which follow each other, run over the sample's indices in one task. L1 leaves few weights, 2**20 at most,
+so the model is broadcast whatever the corpus holds; scoring is one pass without a shuffle.
 """
 
 from __future__ import annotations
@@ -33,7 +32,6 @@ class Settings:
     l1: float = 3.0
     l2: float = 1.0
     epochs: int = 6
-    shards: int = 1
     sample_rows: int = 4000
     skip: int = 2
 
@@ -113,27 +111,23 @@ def fit(rows: DataFrame, s: Settings | None = None) -> Model:
         memo: dict[str, int] = {}
         return lambda keys, texts, labels: (keys, [features(hashes(t, memo), s.skip) for t in texts], labels)
 
-    def shard(pdf: pd.DataFrame) -> pd.DataFrame:
+    def learn(pdf: pd.DataFrame) -> pd.DataFrame:
         at = [np.asarray(x, dtype=np.int64) for x in pdf["at"]]
         label, model = pdf["label"].to_numpy(), Ftrl(s)
         order = np.argsort([zlib.crc32(str(k).encode()) for k in pdf["doc_id"]], kind="stable")
         for epoch in range(s.epochs):
             for i in np.random.default_rng(epoch).permutation(order):
                 model.learn(at[i], int(label[i]))
-        every = np.arange((1 << BITS) + 1)
-        w = model.weights(every)
+        w = model.weights(np.arange((1 << BITS) + 1))
         kept = np.flatnonzero(w)
-        return pd.DataFrame({"i": every[kept], "w": w[kept], "n": len(pdf)})
+        return pd.DataFrame({"i": kept, "w": w[kept]})
 
     rows = rows.select("doc_id", "text", F.col("label").cast("int").alias("label")).dropna(subset=["text", "label"])
     found = map_rows(rows, ["doc_id", "text", "label"], "doc_id long, at array<int>, label int", extract)
-    parts = found.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(s.shards))).groupBy("shard").applyInPandas(shard, "i long, w double, n long")
-    found = parts.toPandas()  # at most shards * (2**BITS + 1) numbers; L1 leaves some thousands
-    mean = found.groupby("i")["w"].sum() / s.shards if len(found) else pd.Series(dtype=float)
-    mean = mean[mean.abs() >= 1e-3]
-    bias = float(mean.get(1 << BITS, 0.0))
-    mean = mean.drop(1 << BITS, errors="ignore")
-    return Model(mean.index.to_numpy(dtype=np.int64), mean.to_numpy(dtype=np.float64), bias, s.skip)
+    got = found.groupBy().applyInPandas(learn, "i long, w double").toPandas()  # 2**BITS + 1 numbers at most; L1 leaves some thousands
+    bias = float(got.loc[got["i"] == 1 << BITS, "w"].sum())
+    got = got[got["i"] < 1 << BITS].sort_values("i")
+    return Model(got["i"].to_numpy(dtype=np.int64), got["w"].to_numpy(dtype=np.float64), bias, s.skip)
 
 
 def scorer(m: Model):
@@ -166,7 +160,7 @@ def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, score (0 to 1) of each whole text; null and empty texts have the score of the bias alone. Rows that repeat are scored alike."""
+    """doc_id, score (0 to 1) of each whole text; null and empty texts have the score of the bias alone. Rows that repeat are scored alike; a table without rows gives none."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
