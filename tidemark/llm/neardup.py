@@ -11,6 +11,10 @@
    a label are done; after a few stars the members of the buckets left are paired across labels by an exact
    prefix filter, estimated and confirmed, so no pair that shares a bucket is lost.
 
+Rows of a bucket or shingle meet what is known of it in a join by that key. A key with more than a 1024th of
+all rows, of which there are at most 1024, has its facts broadcast instead, so a third of all rows in one
+bucket still stays where it is, dealt over all tasks. Intermediate tables are deleted at the end.
+
 At a similarity of 0.8, 48 bands of 6 registers miss a pair with probability 5e-7.
 """
 
@@ -25,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import map_rows, materialise, table
+from tidemark.llm.common import Scratch, map_rows, table
 
 
 @dataclass(frozen=True)
@@ -110,8 +114,23 @@ def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, base:
     return np.take_along_axis(j, like.argmax(axis=1)[:, None], axis=1)[:, 0]
 
 
+def by_key(rows: DataFrame, facts: DataFrame, key: str, size: str, total: int, how: str = "inner") -> DataFrame:
+    """Rows joined with the one row of ``facts`` of their key, of whose rows ``size`` counts those of the key.
+
+    Keys with more than a 1024th of the ``total`` rows, at most 1024 by their sum, are joined by broadcast.
+    """
+    hot = facts.where(F.col(size) > total / HOT)
+    if hot.isEmpty():
+        return rows.join(facts, key, how)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(facts.where(F.col(size) <= total / HOT), key, how)
+    return rows.join(F.broadcast(hot), key).unionByName(rest)
+
+
+HOT = 1024
+
+
 def sketches(docs: DataFrame, s: Settings) -> DataFrame:
-    """doc_id, n_shingles, digest of the set (null if empty), and the registers as bytes (null if empty)."""
+    """id, n_shingles, digest of the set (null if empty), and the registers as bytes (null if empty) of documents (id, text)."""
 
     def make():
         memo: dict[bytes, int] = {}
@@ -128,7 +147,7 @@ def sketches(docs: DataFrame, s: Settings) -> DataFrame:
 
         return batch
 
-    return map_rows(docs.where(F.col("doc_id").isNotNull()), ["doc_id", "text"], "doc_id long, n_shingles long, digest binary, sketch binary", make)
+    return map_rows(docs, ["id", "text"], "id long, n_shingles long, digest binary, sketch binary", make)
 
 
 def banded(classes: DataFrame, s: Settings) -> DataFrame:
@@ -189,7 +208,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
     return map_rows(left.join(right, ["a", "part"]), ["a", "b", "ta", "tb"], "a long, b long, linked boolean", make)
 
 
-def across(classes: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
+def across(classes: DataFrame, texts: DataFrame, s: Settings, scratch: Scratch) -> DataFrame:
     """Pairs (a, b) with different labels that can be similar enough, of classes (id, label) in buckets without a common label.
 
     Prefix filter: with shingles from the rarest to the most frequent, similar sets share one among the first
@@ -211,37 +230,37 @@ def across(classes: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
 
         return batch
 
-    rows = materialise(map_rows(classes.join(texts.toDF("id", "text"), "id"), ["id", "label", "text"], "id long, label long, n long, shingle long", make))
-    often = rows.groupBy("shingle").agg(F.count("*").alias("often"), F.min("label").alias("low"), F.max("label").alias("top")).where("often > 1")
-    shared = rows.join(often, "shingle")
+    rows = scratch.write(map_rows(classes.join(texts.toDF("id", "text"), "id"), ["id", "label", "text"], "id long, label long, n long, shingle long", make))
+    often = scratch.write(rows.groupBy("shingle").agg(F.count("*").alias("often"), F.min("label").alias("low"), F.max("label").alias("top")).where("often > 1"))
+    shared = by_key(rows, often, "shingle", "often", rows.count())
     rank = F.row_number().over(Window.partitionBy("id").orderBy("often", "shingle"))
     own = F.col("n") - F.count("*").over(Window.partitionBy("id"))  # those that no other class has come first
     reach = F.col("n") - F.ceil(F.col("n") * s.percent / 100) + 1
     heads = shared.withColumn("at", rank + own).where(F.col("at") <= reach).where("low <> top").select("shingle", "id", "label", "n", "at")
-    heads = materialise(heads)
+    heads = scratch.write(heads)
     x, y = heads.toDF("shingle", "a", "la", "na", "pa"), heads.toDF("shingle", "b", "lb", "nb", "pb")
     rest = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) + 1
     fits = (F.col("la") < F.col("lb")) & ((100 + s.percent) * rest >= s.percent * (F.col("na") + F.col("nb")))
     return x.join(y, "shingle").where(fits).select("a", "b").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """id, label for every id in ``edges`` (a, b): the smallest id that can be reached.
 
     Every round hooks each id to its smallest neighbour, follows two hooks and contracts the edges, so at
     least half of the ids that can move are gone after it; each round ends at a written table.
     """
-    labels, left = None, materialise(edges.select("a", "b").where("a <> b").distinct())
+    labels, left = None, scratch.write(edges.select("a", "b").where("a <> b").distinct())
     while not left.isEmpty():
         both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        hook = materialise(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("to")))
+        hook = scratch.write(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("to")))
         jump = hook.toDF("to", "over")
-        hook = materialise(hook.join(jump, "to").select(F.col("a").alias("id"), F.col("over").alias("label")))
+        hook = scratch.write(hook.join(jump, "to").select(F.col("a").alias("id"), F.col("over").alias("label")))
         step = hook.toDF("old", "new")
         grown = hook if labels is None else labels.join(step, labels["label"] == step["old"], "left").select("id", F.coalesce("new", "label").alias("label"))
-        labels = materialise(grown)
+        labels = scratch.write(grown)
         first, second = hook.toDF("a", "x"), hook.toDF("b", "y")
-        left = materialise(left.join(first, "a").join(second, "b").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        left = scratch.write(left.join(first, "a").join(second, "b").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
     return edges.select(F.col("a").alias("id"), F.col("a").alias("label")).limit(0) if labels is None else labels
 
 
@@ -249,71 +268,107 @@ def near_duplicates(docs: DataFrame, s: Settings | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each row.
 
     Null, empty and blank texts have no shingles, stay alone and are kept. Rows with equal texts are linked;
-    rows that repeat a doc_id share a component. Rows without doc_id are left out. No rows: none.
+    rows that repeat a doc_id share a component, each with the links of its own text. Rows without doc_id are
+    left out. No rows: none. Other columns are not read. The result is a written table in the shared folder.
     """
     s = s or Settings()
     spark = docs.sparkSession
-    docs = docs.select("doc_id", "text")
-    every = materialise(sketches(docs, s))
-    classes = materialise(every.where(F.col("digest").isNotNull()).groupBy("digest").agg(F.min("doc_id").alias("id")))
-    first = every.select("digest", F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "sketch").dropDuplicates(["id", "digest"])
-    own = materialise(classes.join(first, ["digest", "id"]).select("id", "n", "sketch").groupBy("id").agg(F.max_by("n", "n").alias("n"), F.max_by("sketch", "n").alias("sketch")))
-    buckets = banded(own, s)
-    crowded = buckets.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select("key")
-    buckets = materialise(buckets.join(crowded, "key"))
-    name = f"tidemark_{uuid.uuid4().hex}"
-    wanted = buckets.select(F.col("id").alias("doc_id")).distinct()
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    chosen = docs.join(wanted, "doc_id", "left_semi")
-    chosen.repartition(parts, "doc_id").write.bucketBy(parts, "doc_id").saveAsTable(name)
+    docs = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull())
+    scratch, result = Scratch(spark), Scratch(spark)
     try:
-        links = _links(buckets, own, spark.table(name).dropDuplicates(["doc_id"]), s)
+        mark = F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark")
+        split = docs.select("doc_id", mark).groupBy("doc_id").agg(F.min("mark").alias("low"), F.max("mark").alias("top")).where("low <> top")
+        if split.isEmpty():
+            out = result.write(_labelled(docs.toDF("id", "text"), None, s, scratch).toDF("doc_id", "n_shingles", "component_id"))
+        else:  # some ids have several texts: each text gets an id of its own, and those of a doc_id are linked
+            own = scratch.write(docs.select("doc_id", mark).distinct().withColumn("id", F.monotonically_increasing_id()))
+            rows = scratch.write(docs.withColumn("mark", mark).join(own, ["doc_id", "mark"]).select("id", "text"))
+            first = own.groupBy("doc_id").agg(F.min("id").alias("a"))
+            same = scratch.write(own.join(first, "doc_id").select("a", F.col("id").alias("b")).where("a <> b"))
+            found = scratch.write(_labelled(rows, same, s, scratch).toDF("id", "n_shingles", "label"))
+            found = found.join(own.select("id", "doc_id"), "id")
+            least = found.groupBy("label").agg(F.min("doc_id").alias("component_id"))
+            out = result.write(found.join(least, "label").select("doc_id", "n_shingles", "component_id"))
     finally:
-        spark.sql(f"DROP TABLE IF EXISTS {name}")
-    same = every.where(F.col("digest").isNotNull()).select("doc_id", "digest").join(classes, "digest").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
-    labels = same.join(links.toDF("b", "label"), "b", "left").groupBy("a").agg(F.min(F.coalesce("label", "b")).alias("label"))
-    out = every.select("doc_id", "n_shingles").join(labels.toDF("doc_id", "label"), "doc_id", "left")
-    out = out.withColumn("component_id", F.coalesce("label", "doc_id"))
+        scratch.drop()
     return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
 
 
-def _links(buckets: DataFrame, own: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
+def _labelled(docs: DataFrame, linked: DataFrame | None, s: Settings, scratch: Scratch) -> DataFrame:
+    """id, n_shingles, label of each row of documents (id, text), of which rows with equal ids have equal texts; ``linked`` pairs (a, b) of ids belong together whatever their texts."""
+    spark = docs.sparkSession
+    every = scratch.write(sketches(docs, s))
+    sets = every.where(F.col("digest").isNotNull())
+    classes = scratch.write(sets.groupBy("digest").agg(F.min("id").alias("id"), F.count("*").alias("members")))
+    own = classes.select("digest", "id").join(sets.select("digest", "id", F.col("n_shingles").alias("n"), "sketch"), ["digest", "id"])
+    own = scratch.write(own.select("id", "n", "sketch").dropDuplicates(["id"]))
+    raw = scratch.part()
+    buckets = raw.write(banded(own, s))
+    crowded = raw.write(buckets.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"))
+    buckets = scratch.write(by_key(buckets, crowded, "key", "members", buckets.count()).select("key", "id"))
+    raw.drop()
+    name = f"tidemark_{uuid.uuid4().hex}"
+    wanted = buckets.select("id").distinct()
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    chosen = docs.join(wanted, "id", "left_semi")
+    chosen.repartition(parts, "id").write.bucketBy(parts, "id").saveAsTable(name)
+    try:
+        links = _links(buckets, own, spark.table(name).dropDuplicates(["id"]), s, scratch)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    same = by_key(sets.select("id", "digest"), classes.toDF("digest", "class", "members"), "digest", "members", every.count()).select("id", "class")
+    labels = same.join(links.toDF("class", "label"), "class", "left").select("id", F.coalesce("label", "class").alias("label")).dropDuplicates(["id"])
+    if linked is not None:
+        held = scratch.write(labels)
+        pairs = linked.join(held.toDF("a", "x"), "a", "left").join(held.toDF("b", "y"), "b", "left")
+        joined = components(pairs.select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b")), scratch).toDF("label", "whole")
+        alone = sets.select("id").unionByName(linked.select("a").toDF("id")).unionByName(linked.select("b").toDF("id")).distinct()
+        every_label = alone.join(held, "id", "left").select("id", F.coalesce("label", "id").alias("label"))
+        labels = every_label.join(joined, "label", "left").select("id", F.coalesce("whole", "label").alias("label"))
+    return every.select("id", "n_shingles").join(labels, "id", "left").select("id", "n_shingles", F.coalesce("label", "id").alias("label"))
+
+
+def _links(buckets: DataFrame, own: DataFrame, texts: DataFrame, s: Settings, scratch: Scratch) -> DataFrame:
     """id, label of all classes that are linked with another."""
     spark = buckets.sparkSession
-    labels = edges = tested = used = None
+    labels = edges = tested = used = before = None
     for turn in range(s.stars + 1):
+        mine = scratch.part()
         now = buckets if labels is None else buckets.join(labels, "id", "left")
-        now = now.select("key", "id", (F.coalesce("label", "id") if labels is not None else F.col("id")).alias("label"))
-        sizes = now.groupBy("key").agg(F.count("*").alias("members"), F.min("label").alias("low"), F.max("label").alias("top")).where("low <> top")
-        now = materialise(now.join(sizes.select("key", "members"), "key"))
+        now = mine.write(now.select("key", "id", (F.coalesce("label", "id") if labels is not None else F.col("id")).alias("label")))
+        if before is not None:
+            before.drop()
+        before = mine
+        sizes = mine.write(now.groupBy("key").agg(F.count("*").alias("members"), F.min("label").alias("low"), F.max("label").alias("top")).where("low <> top").select("key", "members"))
+        now = mine.write(by_key(now, sizes, "key", "members", now.count()))
         central = now.groupBy("id").agg(F.sum("members").alias("weight"))
         if used is not None:
             central = central.join(used, "id", "left_anti")
-        heads = now.join(central, "id").groupBy("key").agg(F.max(F.struct("weight", (-F.col("id")).alias("id"), "label")).alias("head"))
-        heads = heads.select("key", F.struct((-F.col("head.id")).alias("id"), F.col("head.label").alias("label")).alias("head"))
-        buckets = materialise(now.join(heads, "key", "left").select("key", "id", "label", "head"))
+        heads = now.join(central, "id").groupBy("key").agg(F.max(F.struct("weight", (-F.col("id")).alias("id"), "label")).alias("head"), F.first("members").alias("members"))
+        heads = mine.write(heads.select("key", "members", F.struct((-F.col("head.id")).alias("id"), F.col("head.label").alias("label")).alias("head")))
+        buckets = mine.write(by_key(now.drop("members"), heads, "key", "members", now.count(), "left").select("key", "id", "label", "head"))
         if buckets.isEmpty():
             break
         if turn < s.stars:
             pairs = buckets.where("label <> head.label").groupBy(F.col("head.id").alias("a"), F.col("id").alias("b")).agg(F.count("*").alias("shared"))
         else:
-            pairs = across(buckets.select("id", "label").distinct(), texts, s)
+            pairs = across(buckets.select("id", "label").distinct(), texts, s, scratch)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti").join(tested.toDF("b", "a"), ["a", "b"], "left_anti")
         if turn < s.stars:  # the head that shares most buckets; the others' turn comes if that one isn't linked
-            heads = buckets.where("head IS NOT NULL").select(F.col("head.id").alias("id")).distinct()
+            heads = scratch.write(buckets.where("head IS NOT NULL").select(F.col("head.id").alias("id")).distinct())
             used = heads if used is None else used.unionByName(heads)
             pairs = pairs.groupBy("b").agg(F.max(F.struct("shared", (-F.col("a")).alias("a"))).alias("best")).select((-F.col("best.a")).alias("a"), "b")
         buckets = buckets.select("key", "id")
-        seen = materialise(judged(pairs, own, s))
+        seen = scratch.write(judged(pairs, own, s))
         tested = seen.select("a", "b") if tested is None else tested.unionByName(seen.select("a", "b"))
         likely = seen.where(F.col("likeness") >= s.floor).select("a", "b")
         if likely.isEmpty():
             continue
-        found = materialise(confirmed(likely, texts, s))
+        found = scratch.write(confirmed(likely, texts, s))
         new = found.where("linked").select("a", "b")
         edges = new if edges is None else edges.unionByName(new)
-        labels = components(edges)
+        labels = components(edges, scratch)
     return labels if labels is not None else spark.createDataFrame([], "id long, label long")
 
 
