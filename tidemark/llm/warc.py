@@ -2,6 +2,10 @@
 
 Both derivatives refer to the response by its record id and repeat its target URI, date and payload digest;
 each has a block digest of its own. Every record is made from one row, so nothing is shuffled.
+
+A page is read in one pass from tag to tag, in time linear in its length. A tag ends at the first ``>``;
+comments, scripts, styles and templates are skipped to their ends, or to the page's end where they have none,
+so links, title and language are those of what a reader sees.
 """
 
 from __future__ import annotations
@@ -11,6 +15,7 @@ import hashlib
 import html
 import re
 import uuid
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,20 +23,58 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import map_rows, table
 
 SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the namespace of URLs
-DROPPED = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template)\b.*?(?:</\1\s*>|\Z)", re.DOTALL | re.IGNORECASE)
-BREAK = re.compile(r"<(?:/?(?:p|div|li|ul|ol|h[1-6]|tr|table|article|section|nav|header|footer|title|head|body|html|blockquote|pre)|br)\b[^>]*(?:>|\Z)", re.IGNORECASE)
-TAG = re.compile(r"<[a-zA-Z/!?][^>]*(?:>|\Z)")
-TITLE = re.compile(r"<title[^>]*>([^<]*)", re.IGNORECASE)
-LANG = re.compile(r"<html[^>]*\blang=[\"']?([A-Za-z-]+)", re.IGNORECASE)
-LINK = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
+MARK = re.compile(r"<(?:(!--.*?(?:-->|\Z))|(/?)([a-zA-Z][a-zA-Z0-9]*)([^>]*)(?:>|\Z)|[/!?][^>]*(?:>|\Z))", re.DOTALL)
+SKIPPED = {name: re.compile(rf"</{name}\s*>", re.IGNORECASE) for name in ("script", "style", "noscript", "template")}
+BLOCKS = frozenset("p div li ul ol h1 h2 h3 h4 h5 h6 tr table article section nav header footer title head body html blockquote pre br".split())
+ATTRIBUTE = re.compile(r"([^\s=/\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"']+)))?")
 BLANKS = re.compile(r"[^\S\n]+")
 LINES = re.compile(r" ?\n[ \n]*")
 
 
-def plain(source: str) -> str:
-    """The text of a page: no scripts, styles or comments, a line for each block, entities resolved."""
-    text = TAG.sub("", BREAK.sub("\n", DROPPED.sub(" ", source)))
-    return LINES.sub("\n", BLANKS.sub(" ", html.unescape(text))).strip()
+@dataclass
+class Page:
+    """What one pass finds: text with a line for each block, links, the first title, the language that ``<html lang>`` names; null: none."""
+
+    text: str
+    links: list[str]
+    title: str
+    lang: str
+
+
+def attribute(source: str, name: str) -> str | None:
+    """The value of a tag's first attribute of that name, its entities resolved."""
+    for m in ATTRIBUTE.finditer(source):
+        if m[1].lower() == name:
+            return html.unescape(m[2] or m[3] or m[4] or "")
+    return None
+
+
+def read(source: str) -> Page:
+    out, links, title, lang, at = [], [], None, None, 0
+    while (m := MARK.search(source, at)) is not None:
+        if m.start() > at:
+            out.append(source[at : m.start()])
+        name, at = (m[3] or "").lower(), m.end()
+        if m[1]:
+            out.append(" ")
+        elif name in SKIPPED and not m[2]:
+            end = SKIPPED[name].search(source, at)
+            at = end.end() if end else len(source)
+            out.append(" ")
+        elif name in BLOCKS:
+            out.append("\n")
+        if m[2] or not name:
+            continue
+        if name == "a" and (link := attribute(m[4], "href")) is not None:
+            links.append(link)
+        elif name == "html" and lang is None:
+            lang = attribute(m[4], "lang")
+        elif name == "title" and title is None:
+            end = source.find("<", at)
+            title = html.unescape(source[at : end if end >= 0 else len(source)])
+    out.append(source[at:])
+    text = LINES.sub("\n", BLANKS.sub(" ", html.unescape("".join(out)))).strip()
+    return Page(text, links, title or "", lang or "")
 
 
 def digest(block: bytes) -> str:
@@ -70,8 +113,8 @@ def derivatives(found: DataFrame) -> DataFrame:
     """Two rows for each response: its metadata and its conversion record.
 
     page_id, record_type, record_id, refers_to, target_uri, source_digest (of the payload), block_digest,
-    content_length, n_links, record (the whole record as text). Empty pages give empty conversions;
-    responses that repeat give derivatives that repeat.
+    content_length, n_links, record (the whole record as text). Empty pages give empty conversions, responses
+    that repeat give derivatives that repeat, ids included, and no responses give none.
     """
     schema = "page_id long, record_type string, record_id string, refers_to string, target_uri string, source_digest string, block_digest string, content_length long, n_links long, record string"
 
@@ -81,18 +124,17 @@ def derivatives(found: DataFrame) -> DataFrame:
             for key, source, uri, date, head, payload in zip(keys, ids, uris, dates, heads, payloads, strict=True):
                 raw = payload.encode("utf-8", "surrogatepass")
                 payload_digest = digest(raw)
-                links = [html.unescape(a or b or c) for a, b, c in LINK.findall(payload)]
-                title, lang = TITLE.search(payload), LANG.search(payload)
+                page = read(payload)
                 status, _, sent = head.partition("\r\n")
                 facts = [("source-status", status), *(("source-" + k.lower(), v) for k, _, v in (x.partition(": ") for x in sent.split("\r\n") if x))]
-                facts += [("title", html.unescape(title[1]) if title else ""), ("languages-cld2", lang[1] if lang else ""), *(("outlink", x) for x in links)]
+                facts += [("title", page.title), ("html-lang", page.lang), *(("outlink", x) for x in page.links)]
                 meta = "".join(f"{k}: {header(v)}\r\n" for k, v in facts).encode("utf-8", "surrogatepass")
-                text = plain(payload).encode("utf-8", "surrogatepass")
+                text = page.text.encode("utf-8", "surrogatepass")
                 for kind, block, form in (("metadata", meta, "application/warc-fields"), ("conversion", text, "text/plain; charset=utf-8")):
                     own = f"<urn:uuid:{uuid.uuid5(SPACE, source + ' ' + kind)}>"
                     fields = [("WARC-Record-ID", own), ("WARC-Date", date), ("WARC-Target-URI", uri), ("WARC-Refers-To", source), ("WARC-Refers-To-Target-URI", uri), ("WARC-Refers-To-Date", date), ("WARC-Source-Payload-Digest", payload_digest), ("Content-Type", form)]
                     whole = record(kind, block, fields).decode("utf-8", "surrogatepass")
-                    rows.append((key, kind, own, source, uri, payload_digest, digest(block), len(block), len(links), whole))
+                    rows.append((key, kind, own, source, uri, payload_digest, digest(block), len(block), len(page.links), whole))
             return [list(c) for c in zip(*rows, strict=True)] if rows else [[]] * 10
 
         return batch
