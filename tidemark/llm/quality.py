@@ -86,40 +86,46 @@ class Model:
         return sigmoid(x - self.thresholds)
 
 
+def thresholds_of(raw: np.ndarray) -> np.ndarray:
+    """Gaps between thresholds are exponentials, so they stay ordered."""
+    return raw[0] + np.concatenate([[0.0], np.cumsum(np.exp(raw[1:]))])
+
+
+def slopes(x: float, raw: np.ndarray, grade: int) -> tuple[float, np.ndarray, float]:
+    """The gradient of the log likelihood of a grade by x = w . features and by the raw thresholds, and the likelihood."""
+    p = sigmoid(x - thresholds_of(raw))
+    full = np.concatenate([[1.0], p, [0.0]])
+    mass = max(full[grade] - full[grade + 1], 1e-9)
+    slope = np.concatenate([[0.0], p * (1 - p), [0.0]])
+    dt = np.zeros(len(raw) + 2)
+    dt[grade] -= slope[grade] / mass
+    dt[grade + 1] += slope[grade + 1] / mass
+    dt = dt[1:-1]
+    up = np.concatenate([[dt.sum()], np.exp(raw[1:]) * np.cumsum(dt[::-1])[::-1][1:]])
+    return (slope[grade] - slope[grade + 1]) / mass, up, mass
+
+
 def train(rows: list[tuple[np.ndarray, np.ndarray, int]], s: Settings) -> Model:
-    """Per-coordinate (AdaGrad) steps up the likelihood; gaps between thresholds are exponentials, so they stay ordered."""
+    """Per-coordinate (AdaGrad) steps up the likelihood."""
     w, seen = np.zeros(1 << BITS), np.full(1 << BITS, 1e-2)
     raw, raw_seen = np.zeros(s.grades - 1), np.full(s.grades - 1, 1e-2)
-
-    def thresholds():
-        return raw[0] + np.concatenate([[0.0], np.cumsum(np.exp(raw[1:]))])
-
     for epoch in range(s.epochs):
         for i in np.random.default_rng(epoch).permutation(len(rows)):
             at, value, grade = rows[i]
-            t = thresholds()
-            p = sigmoid(float(w[at] @ value) - t)
-            full = np.concatenate([[1.0], p, [0.0]])
-            mass = max(full[grade] - full[grade + 1], 1e-9)
-            slope = np.concatenate([[0.0], p * (1 - p), [0.0]])
-            g = (slope[grade] - slope[grade + 1]) / mass  # of the log likelihood by w . x
+            g, up, _ = slopes(float(w[at] @ value), raw, grade)
             step = -g * value + s.l2 * w[at]
             seen[at] += step * step
             w[at] -= s.rate * step / np.sqrt(seen[at])
-            dt = np.zeros(s.grades + 1)
-            dt[grade] -= slope[grade] / mass
-            dt[grade + 1] += slope[grade + 1] / mass
-            dt = dt[1:-1]
-            up = np.concatenate([[dt.sum()], np.exp(raw[1:]) * np.cumsum(dt[::-1])[::-1][1:]])
             raw_seen += up * up
             raw += s.rate * up / np.sqrt(raw_seen)
-    return Model(w, thresholds())
+    return Model(w, thresholds_of(raw))
 
 
 def fit(rows: DataFrame, s: Settings | None = None) -> Model:
-    """Learn from ``rows`` (doc_id, text, grade 0 to grades - 1), which ``graded`` keeps to a bounded sample; nulls are left out. Without rows every grade is as likely as any prior step makes it."""
+    """Learn from ``rows`` (doc_id, text, grade 0 to grades - 1), which ``graded`` keeps to a bounded sample; nulls are left out. Without rows no word counts, and thresholds 0, 1, ... alone give every text the same tail."""
     s = s or Settings()
     rows = rows.select("doc_id", "text", "grade").dropna()
+
     def extract():
         memo: dict = {}
 
@@ -145,7 +151,7 @@ def fit(rows: DataFrame, s: Settings | None = None) -> Model:
 
 
 def score(docs: DataFrame, model: Model, s: Settings | None = None) -> DataFrame:
-    """doc_id, expected_grade, tail (probability of grade ``cut`` or better), selected (tail >= ``keep``) of each whole text; null texts count as empty."""
+    """doc_id, expected_grade, tail (probability of grade ``cut`` or better), selected (tail >= ``keep``) of each whole text; null texts count as empty, rows that repeat are scored alike, a table without rows gives none."""
     s = s or Settings()
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
