@@ -3,6 +3,7 @@
 A text is cut into paragraphs at line and sentence ends, and long ones at words that a hash marks, so a cut
 depends only on the words around it. Each paragraph's digest is added to three cells of a sketch. Sketches
 of two versions subtract cell by cell; peeling cells that hold one digest recovers those on one side only.
+Stored fingerprints are whole sketches, so two of them subtract and peel without their texts (``compare``).
 If peeling stalls, both sides are sketched again at twice the size until it succeeds.
 """
 
@@ -14,6 +15,7 @@ import re
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -111,10 +113,25 @@ class Sketch:
         return None if left[0] else (key[sign == 1], key[sign == -1])
 
     def written(self, n: int) -> str:
-        """The number of paragraphs and the cells, as text."""
-        raw = self.count.astype("<i4").tobytes() + self.key.astype("<u8").tobytes() + self.check.astype("<u4").tobytes()
+        """The number of paragraphs and the cells, as text; ``read`` restores both."""
+        raw = self.count.astype("<i4").tobytes() + self.key.astype("<u8").tobytes() + self.check.astype("<u8").tobytes()
         return f"{n}:{base64.b64encode(raw).decode()}"
 
+    @classmethod
+    def read(cls, text: str) -> tuple[int, Sketch]:
+        n, _, cells = text.partition(":")
+        raw = base64.b64decode(cells)
+        size = len(raw) // 20
+        count, key, own = raw[: 4 * size], raw[4 * size : 12 * size], raw[12 * size :]
+        return int(n), cls(np.frombuffer(count, "<i4").astype(np.int64), np.frombuffer(key, "<u8").astype(np.uint64), np.frombuffer(own, "<u8").astype(np.uint64))
+
+
+def compare(a: str, b: str) -> tuple[np.ndarray, np.ndarray, float] | None:
+    """From two stored fingerprints: digests of the first only, of the second only, and the likeness; None where they differ in more than their cells can tell, and larger sketches of the texts are due."""
+    (n, x), (_, y) = Sketch.read(a), Sketch.read(b)
+    found = (x - y).peel()
+    return found and (*found, likeness(n, *found))
+
 
 def peel_many(joint: Sketch, base: np.ndarray, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Peel many sketches that lie behind each other in ``joint``, from ``base`` on, with ``cells`` each.
@@ -207,10 +224,10 @@ def differences(pairs: list[tuple[np.ndarray, np.ndarray]], cells: int) -> list[
     return out
 
 
-def likeness(a: np.ndarray, left: np.ndarray, right: np.ndarray) -> float:
-    """Shared digests over all digests of both (1 if neither has any), from what differs."""
-    every = len(a) + len(right)
-    return (len(a) - len(left)) / every if every else 1.0
+def likeness(n: int, left: np.ndarray, right: np.ndarray) -> float:
+    """Shared digests over all digests of both (1 if neither has any), from the first's number and what differs."""
+    every = n + len(right)
+    return (n - len(left)) / every if every else 1.0
 
 
 def with_next(docs: DataFrame, pieces: int | None = None) -> DataFrame:
@@ -223,17 +240,19 @@ def with_next(docs: DataFrame, pieces: int | None = None) -> DataFrame:
     docs = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull())
     spark = docs.sparkSession
     n = pieces or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    splits = docs.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)], 100 * n)).first()[0] if n > 1 else []
-    edges = sorted(set(splits or []))
-    part = F.coalesce(F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e < F.col("doc_id"))) if edges else F.lit(0), F.lit(0))
-    dealt = docs.withColumn("part", part.cast("int"))
-    firsts = {r["part"]: r["first"] for r in dealt.groupBy("part").agg(F.min("doc_id").alias("first")).collect()}  # n rows at most
-    parts = sorted(firsts)
-    follows = {firsts[p]: parts[k - 1] for k, p in enumerate(parts)}  # first id of a range -> the range before it
-    heads = docs.where(F.col("doc_id").isin(list(follows))).groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
-    before = F.create_map(*[F.lit(x) for kv in follows.items() for x in kv]) if follows else F.lit(None).cast("map<bigint,int>")
-    copies = heads.select("doc_id", "text", F.element_at(before, F.col("doc_id")).cast("int").alias("part"), F.lit(True).alias("halo"))
-    every = dealt.select("part", F.lit(False).alias("halo"), "doc_id", "text").unionByName(copies.select("part", "halo", "doc_id", "text"))
+    splits = docs.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)], 20 * n)).first()[0] if n > 1 else []
+    edges = np.array(sorted(set(splits or [])), dtype=np.int64)
+
+    @F.pandas_udf("int")
+    def range_of(ids: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(edges, ids.to_numpy(), side="left").astype(np.int32))
+
+    firsts = docs.select("doc_id", range_of("doc_id").alias("part")).groupBy("part").agg(F.min("doc_id").alias("first")).orderBy("part").collect()  # n rows at most
+    follows = [(r["first"], firsts[k - 1]["part"]) for k, r in enumerate(firsts)]  # first id of a range, and the range before it
+    before = F.broadcast(spark.createDataFrame(follows, "doc_id long, part int"))
+    copies = docs.join(before, "doc_id").groupBy("doc_id", "part").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    dealt = docs.select(range_of("doc_id").alias("part"), F.lit(False).alias("halo"), "doc_id", "text")
+    every = dealt.unionByName(copies.select("part", F.lit(True).alias("halo"), "doc_id", "text"))
     return every.repartition(n, "part").sortWithinPartitions("part", "halo", "doc_id", "text")
 
 
@@ -278,7 +297,7 @@ def fingerprint(docs: DataFrame, s: Settings | None = None) -> DataFrame:
                 held[:] = [] if halo else [(part, doc, text, own)]
             if not out:
                 return [[]] * 8
-            near = [likeness(p[0], *d[:2]) for k in range(0, len(pairs), 1000) for p, d in zip(pairs[k : k + 1000], differences(pairs[k : k + 1000], s.cells), strict=True)]
+            near = [likeness(len(p[0]), *d[:2]) for k in range(0, len(pairs), 1000) for p, d in zip(pairs[k : k + 1000], differences(pairs[k : k + 1000], s.cells), strict=True)]
             found = [list(c) for c in zip(*out, strict=True)]
             return [*found[:5], near[::2], near[1::2], found[5]]
 
