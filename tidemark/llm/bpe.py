@@ -2,7 +2,8 @@
 
 Each task takes its block of documents, splits the texts by the tokenizer's pattern and merges the
 *distinct* words of the block together: an inverted index from token pair to word positions is
-consulted in rank order, and a merge touches only the two neighbours of each position. No shuffle
+consulted in rank order, and a merge touches only the two neighbours of each position. Pairs that make the
+same token have the same rank and share an entry, since ties between them go from left to right. No shuffle
 is needed, and a word costs its merges once a block, however often it occurs.
 """
 
@@ -222,7 +223,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids", id_column: str = "doc_id"
 
 
 def round_trip(df: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id, ids, n_tokens, and text: what the ids decode to, which is the text that came in (null: empty)."""
+    """doc_id, ids, n_tokens, and text: what the ids decode to, which is the text that came in (null: empty); a row for each row, none for none."""
 
     def make():
         codec = BlockCodec(load_ranks(path), pattern)  # its words go with the task: other stages use the same workers
@@ -237,7 +238,7 @@ def round_trip(df: DataFrame, path: str, pattern: str) -> DataFrame:
 
 
 def digests(df: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of each whole text (null: empty)."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of each whole text (null: empty); a row for each row, none for none."""
 
     def make():
         codec = _codec(DigestCodec, path, pattern)
