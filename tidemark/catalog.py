@@ -1,68 +1,18 @@
-"""All queries of the event-log engine by name, and SQL that gives the same rows in DuckDB."""
+"""Queries of the event-log engine by name, and SQL that gives the same rows in DuckDB."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark import models  # noqa: F401  its queries join the registry
 from tidemark.functions import scalars
-from tidemark.operators import checks, folds, health, lineage, projections, reads, rollups
+from tidemark.operators import checks, folds, health, lineage, projections, reads, rollups, samples
+from tidemark.registry import EV, ONE, ORACLE_SQL, QUERIES, STREAM, TYPES, query, snapshots, stream, with_doubles  # noqa: F401
 from tidemark.sources import event_log as el
 from tidemark.sources.event_log import ID
 from tidemark.streaming import consumers
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-TYPES = ("click", "error", "purchase", "signup", "view")
-STREAM = ("tenant-1", "activity", "user-7")
-ONE = "tenant_id = 'tenant-1' AND aggregate_id = 'user-7'"
-
-EV = """WITH ev0 AS (
-  SELECT 'tenant-' || (user_id % 3) AS tenant_id, 'activity' AS domain, 'user-' || user_id AS aggregate_id,
-    row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS sequence_number, event_id + 1 AS global_position,
-    'm-' || event_id AS message_id, event_type AS event_type_name, value, props AS payload, ts, event_id, user_id FROM events),
-ev AS (SELECT *, 'c-' || user_id || '-' || ((sequence_number - 1) // 3) AS correlation_id,
-    CASE WHEN event_id % 3 <> 0 THEN coalesce(lag(message_id) OVER (PARTITION BY user_id ORDER BY sequence_number), '') ELSE '' END AS causation_id FROM ev0),
-heads AS (SELECT tenant_id, domain, aggregate_id, max(sequence_number) AS current_sequence, max(ts) AS last_modified FROM ev GROUP BY ALL),
-snaps AS (SELECT tenant_id, domain, aggregate_id, current_sequence // 50 * 50 AS sequence_number FROM heads WHERE current_sequence >= 50),
-cmds0 AS (SELECT tenant_id, domain, aggregate_id, correlation_id, min(event_id) AS first_event, min(ts) AS ts, arg_min(event_type_name, event_id) AS command_type FROM ev GROUP BY ALL),
-cmds AS (SELECT *, CAST(first_event % 8 AS INTEGER) AS status_code, ['Received','Processing','EventsStored','EventsPublished','Completed','Rejected','PublishFailed','TimedOut'][first_event % 8 + 1] AS status FROM cmds0),
-hs AS (SELECT 'component-' || (user_id % 5) AS component, CASE event_type WHEN 'error' THEN 'Unhealthy' WHEN 'view' THEN 'Degraded' ELSE 'Healthy' END AS status,
-    CASE event_type WHEN 'error' THEN 2 WHEN 'view' THEN 1 ELSE 0 END AS severity, ts AS captured_at, event_id AS sample_id FROM events),
-st AS (SELECT *,
-    list_reduce(list_prepend(CAST(0 AS BIGINT), list(CAST(CASE event_type_name WHEN 'click' THEN 1 WHEN 'error' THEN -1 WHEN 'signup' THEN -1000000 ELSE 0 END AS BIGINT)) OVER w), lambda a, x: greatest(a + x, 0)) AS count,
-    sum(CASE WHEN event_type_name = 'purchase' THEN CAST(value AS DECIMAL(18,2)) ELSE 0 END) OVER w AS spent,
-    max(CASE WHEN event_type_name = 'purchase' THEN event_id END) OVER w AS last_purchase
-    FROM ev WINDOW w AS (PARTITION BY tenant_id, domain, aggregate_id ORDER BY sequence_number ROWS UNBOUNDED PRECEDING))
-"""
-
-
-def query(name: str, sql: str | None, prefix: str = EV):
-    def add(f: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[name] = f
-        if sql:
-            ORACLE_SQL[name] = prefix + sql
-        return f
-
-    return add
-
-
-def stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reads.of(el.load(spark, sf_dir), *STREAM)
-
-
-def snapshots(log: DataFrame) -> DataFrame:
-    own = reads.heads(log).withColumn("sequence_number", (F.floor(F.col("current_sequence") / 50) * 50).cast("long"))
-    return own.where("sequence_number > 0").select(*ID, "sequence_number")
-
-
-def with_doubles(df: DataFrame) -> DataFrame:
-    return df.withColumn("spent", F.col("spent").cast("double"))
-
-
 # reads -------------------------------------------------------------------------------------------------
 
 @query("stream_summary", "SELECT tenant_id, domain, aggregate_id, count(*) AS event_count, max(sequence_number) AS last_sequence, max(ts) AS last_activity FROM ev GROUP BY ALL")
@@ -82,7 +32,7 @@ def tracked_identities(spark, d):
 
 @query("stream_read_full", f"SELECT sequence_number, message_id, event_type_name FROM ev WHERE {ONE}")
 def stream_read_full(spark, d):
-    return reads.read_range(stream(spark, d), -5).select("sequence_number", "message_id", "event_type_name")
+    return reads.read_whole(stream(spark, d), -5).select("sequence_number", "message_id", "event_type_name")
 
 
 @query("stream_read_range", f"SELECT sequence_number, message_id, event_type_name FROM ev WHERE {ONE} AND sequence_number > 5 AND sequence_number <= 40 ORDER BY sequence_number LIMIT 20")
@@ -90,12 +40,12 @@ def stream_read_range(spark, d):
     return reads.read_range(stream(spark, d), 5, 40, 20).select("sequence_number", "message_id", "event_type_name")
 
 
-@query("stream_read_page", f"SELECT sequence_number, message_id, (SELECT max(sequence_number) FROM ev WHERE {ONE}) AS latest_sequence, CAST(20 AS BIGINT) AS last_returned, true AS is_truncated FROM ev WHERE {ONE} AND sequence_number > 10 AND sequence_number <= 20")
+@query("stream_read_page", f"SELECT sequence_number, message_id, (SELECT max(sequence_number) FROM ev WHERE {ONE}) AS latest_sequence, max(sequence_number) OVER () AS last_returned, max(sequence_number) OVER () < (SELECT max(sequence_number) FROM ev WHERE {ONE}) AS is_truncated FROM (SELECT * FROM ev WHERE {ONE} AND sequence_number > 10 ORDER BY sequence_number LIMIT 10)")
 def stream_read_page(spark, d):
     return reads.read_page(stream(spark, d), 10, 10).select("sequence_number", "message_id", "latest_sequence", "last_returned", "is_truncated")
 
 
-@query("timeline_page", f"SELECT sequence_number, event_type_name, CAST(28 AS BIGINT) AS total_count, CAST(13 AS BIGINT) AS next_token FROM ev WHERE {ONE} AND sequence_number BETWEEN 3 AND 12")
+@query("timeline_page", f"SELECT sequence_number, event_type_name, total AS total_count, CASE WHEN max(sequence_number) OVER () < top THEN max(sequence_number) OVER () + 1 END AS next_token FROM (SELECT *, count(*) OVER () AS total, max(sequence_number) OVER () AS top FROM ev WHERE {ONE} AND sequence_number BETWEEN 3 AND 30 ORDER BY sequence_number LIMIT 10)")
 def timeline_page(spark, d):
     return reads.timeline(stream(spark, d), 3, 30, 10).select("sequence_number", "event_type_name", "total_count", "next_token")
 
@@ -111,11 +61,12 @@ def snapshot_tail(spark, d):
     return reads.snapshot_tail(log, snapshots(log)).groupBy(*ID).agg(F.count("*").alias("tail"), F.min("sequence_number").alias("first"))
 
 
-@query("append_positions", """SELECT tenant_id, aggregate_id, message_id, sequence_number + current_sequence AS sequence_number, position + 1 + (SELECT max(global_position) FROM ev) AS global_position FROM (
-  SELECT tenant_id, domain, aggregate_id, 'new-' || event_id AS message_id, event_id AS position, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS sequence_number FROM ev WHERE event_id < 50) JOIN heads USING (tenant_id, domain, aggregate_id)""")
+@query("append_positions", """SELECT tenant_id, aggregate_id, message_id, turn + current_sequence AS sequence_number, place + (SELECT max(global_position) FROM ev) AS global_position FROM (
+  SELECT tenant_id, domain, aggregate_id, 'new-' || event_id AS message_id, row_number() OVER (ORDER BY event_id // 3, 'new-' || event_id) AS place, row_number() OVER (PARTITION BY user_id ORDER BY event_id // 3, 'new-' || event_id) AS turn FROM ev WHERE event_type_name = 'purchase') JOIN heads USING (tenant_id, domain, aggregate_id)""")
 def append_positions(spark, d):
+    """Every purchase is appended once more, at positions with holes and ties."""
     log = el.load(spark, d)
-    rows = log.where("event_id < 50").select(*ID, F.concat(F.lit("new-"), F.col("event_id")).alias("message_id"), F.col("event_id").alias("position"))
+    rows = log.where("event_type_name = 'purchase'").select(*ID, F.concat(F.lit("new-"), F.col("event_id")).alias("message_id"), F.floor(F.col("event_id") / 3).alias("position"))
     return reads.append(log, rows).select("tenant_id", "aggregate_id", "message_id", "sequence_number", "global_position")
 
 
@@ -132,7 +83,7 @@ def storage_scopes(spark, d):
     return rollups.storage_scopes(el.load(spark, d))
 
 
-@query("storage_by_type", "SELECT h.tenant_id, h.domain, CAST(sum(n) AS BIGINT) AS event_count, CAST(sum(size) AS BIGINT) AS size_bytes, count(s.sequence_number) AS with_snapshot, count(*) - count(s.sequence_number) AS without_snapshot FROM (SELECT tenant_id, domain, aggregate_id, count(*) AS n, sum(strlen(payload)) AS size FROM ev GROUP BY ALL) h LEFT JOIN snaps s USING (tenant_id, domain, aggregate_id) GROUP BY ALL")
+@query("storage_by_type", "SELECT h.tenant_id, h.domain, upper(left(h.domain, 1)) || substr(h.domain, 2) || 'Aggregate' AS aggregate_type, CAST(sum(n) AS BIGINT) AS event_count, CAST(sum(size) AS BIGINT) AS size_bytes, count(s.sequence_number) AS with_snapshot, count(*) - count(s.sequence_number) AS without_snapshot FROM (SELECT tenant_id, domain, aggregate_id, count(*) AS n, sum(strlen(payload)) AS size FROM ev GROUP BY ALL) h LEFT JOIN snaps s USING (tenant_id, domain, aggregate_id) GROUP BY ALL")
 def storage_by_type(spark, d):
     log = el.load(spark, d)
     return rollups.storage_by_type(log, snapshots(log))
@@ -226,11 +177,20 @@ def projection_positions(spark, d):
     return checks.projection_positions(own.unionByName(more), rollups.storage_scopes(log))
 
 
-@query("consistency_report", f"""SELECT 'continuity' AS "check", * FROM ({GAPS}) UNION ALL SELECT 'metadata', tenant_id, domain, aggregate_id, NULL, 'Error' FROM (SELECT tenant_id, domain, aggregate_id FROM ev WHERE event_id % 97 <> 0 GROUP BY ALL HAVING count(*) <> max(sequence_number)) UNION ALL SELECT 'snapshot', tenant_id, domain, aggregate_id, NULL, 'Warning' FROM (SELECT tenant_id, domain, aggregate_id, count(*) AS n FROM ev WHERE event_id % 97 <> 0 GROUP BY ALL) ANTI JOIN snaps USING (tenant_id, domain, aggregate_id) WHERE n > 100""")
+@query("consistency_report", f"""SELECT 'continuity' AS "check", * FROM ({GAPS}) UNION ALL SELECT 'projection', tenant_id, '', 'counter', NULL, 'Error' FROM (SELECT DISTINCT tenant_id FROM ev WHERE event_id % 97 <> 0) UNION ALL SELECT 'metadata', tenant_id, domain, aggregate_id, NULL, 'Error' FROM (SELECT tenant_id, domain, aggregate_id FROM ev WHERE event_id % 97 <> 0 GROUP BY ALL HAVING count(*) <> max(sequence_number)) UNION ALL SELECT 'snapshot', tenant_id, domain, aggregate_id, NULL, 'Warning' FROM (SELECT tenant_id, domain, aggregate_id, count(*) AS n FROM ev WHERE event_id % 97 <> 0 GROUP BY ALL) ANTI JOIN snaps USING (tenant_id, domain, aggregate_id) WHERE n > 100""")
 def consistency_report(spark, d):
     log = el.load(spark, d)
     holed = el.with_gaps(log)
-    return checks.report(holed, reads.heads(log), snapshots(log), rollups.stream_summary(holed))
+    overview = rollups.storage_scopes(holed)
+    ahead = overview.where("scope <> 'all'").select(F.lit("counter").alias("name"), F.col("scope").alias("tenant_id"), (F.col("total_events") + 40).alias("last_position"), F.lit(0).alias("lag"))
+    return checks.report(holed, reads.heads(log), snapshots(log), rollups.stream_summary(holed), ahead, overview)
+
+
+@query("worst_anomalies", f"SELECT tenant_id, aggregate_id, sequence_number, severity FROM ({GAPS}) ORDER BY severity, tenant_id, domain, aggregate_id, sequence_number LIMIT 40")
+def worst_anomalies(spark, d):
+    log = el.load(spark, d)
+    found = checks.gaps(el.with_gaps(log), reads.heads(log)).withColumn("check", F.lit("continuity"))
+    return checks.worst(found, 40).select("tenant_id", "aggregate_id", "sequence_number", "severity")
 
 
 # folds -------------------------------------------------------------------------------------------------
@@ -240,9 +200,22 @@ def state_timeline(spark, d):
     return with_doubles(folds.timeline(el.load(spark, d)).select(*ID, "sequence_number", "count", "spent", "last_purchase"))
 
 
-@query("state_at", "SELECT tenant_id, domain, aggregate_id, sequence_number, ts, count, CAST(spent AS DOUBLE) AS spent, last_purchase FROM st WHERE sequence_number = 30")
+@query("state_at", "SELECT tenant_id, domain, aggregate_id, sequence_number, ts, count, CAST(spent AS DOUBLE) AS spent, last_purchase FROM (SELECT *, row_number() OVER (PARTITION BY aggregate_id ORDER BY sequence_number DESC) AS back FROM st WHERE sequence_number <= 60) WHERE back = 1")
 def state_at(spark, d):
-    return with_doubles(folds.at(el.load(spark, d), 30)).where("sequence_number = 30")
+    return with_doubles(folds.at(el.load(spark, d), 60))
+
+
+@query("state_at_zero", "SELECT DISTINCT tenant_id, domain, aggregate_id, CAST(0 AS BIGINT) AS sequence_number, CAST(NULL AS BIGINT) AS count, CAST(NULL AS DOUBLE) AS spent FROM ev")
+def state_at_zero(spark, d):
+    return with_doubles(folds.at(el.load(spark, d), 0)).select(*ID, "sequence_number", "count", "spent")
+
+
+@query("snapshot_state", "SELECT st.tenant_id, st.domain, st.aggregate_id, sequence_number, count, CAST(spent AS DOUBLE) AS spent, last_purchase, CAST(NULL AS BIGINT) AS missing FROM st JOIN heads h USING (tenant_id, domain, aggregate_id) WHERE sequence_number = current_sequence")
+def snapshot_state(spark, d):
+    """Snapshots and the events behind them lead to the state that whole streams lead to."""
+    log = el.load(spark, d)
+    states = folds.timeline(log).join(snapshots(log), [*ID, "sequence_number"]).select(*ID, "sequence_number", *folds.DEMO.fields)
+    return with_doubles(folds.rehydrated(log, states, folds.DEMO))
 
 
 @query("state_latest", "SELECT st.tenant_id, st.domain, st.aggregate_id, sequence_number, ts, count, CAST(spent AS DOUBLE) AS spent, last_purchase FROM st JOIN heads h USING (tenant_id, domain, aggregate_id) WHERE sequence_number = current_sequence")
@@ -250,7 +223,7 @@ def state_latest(spark, d):
     return with_doubles(folds.at(el.load(spark, d)))
 
 
-PATHS = "(SELECT tenant_id, domain, aggregate_id, sequence_number, ts, event_type_name, correlation_id, unnest(['count', 'spent', 'last_purchase']) AS path, unnest([CAST(count AS VARCHAR), CAST(CAST(spent AS DECIMAL(28,2)) AS VARCHAR), CAST(last_purchase AS VARCHAR)]) AS value FROM st)"
+PATHS = "(SELECT tenant_id, domain, aggregate_id, sequence_number, ts, event_type_name, correlation_id, user_id, unnest(['count', 'spent', 'last_purchase']) AS path, unnest([CAST(count AS VARCHAR), CAST(CAST(spent AS DECIMAL(28,2)) AS VARCHAR), CAST(last_purchase AS VARCHAR)]) AS value FROM st)"
 
 
 @query("state_diff", f"SELECT n.tenant_id, n.domain, n.aggregate_id, n.path, n.value AS new_value, o.value AS old_value FROM {PATHS} n LEFT JOIN (SELECT * FROM {PATHS} WHERE sequence_number = 10) o USING (tenant_id, domain, aggregate_id, path) WHERE n.sequence_number = 20 AND n.value IS NOT NULL AND n.value IS DISTINCT FROM o.value")
@@ -258,14 +231,23 @@ def state_diff(spark, d):
     return folds.diff(el.load(spark, d), 10, 20)
 
 
-@query("blame", f"SELECT tenant_id, domain, aggregate_id, path, value, previous, sequence_number AS changed_at, ts AS changed_ts, event_type_name AS changed_by, correlation_id FROM (SELECT *, row_number() OVER (PARTITION BY tenant_id, domain, aggregate_id, path ORDER BY sequence_number DESC) AS r FROM (SELECT *, lag(value) OVER (PARTITION BY tenant_id, domain, aggregate_id, path ORDER BY sequence_number) AS previous FROM {PATHS}) WHERE value IS DISTINCT FROM previous) WHERE r = 1")
+BLAMED = f"SELECT tenant_id, domain, aggregate_id, path, value, previous, sequence_number AS changed_at, ts AS changed_ts, event_type_name AS changed_by, correlation_id, CAST(user_id AS VARCHAR) AS changed_user FROM (SELECT *, row_number() OVER (PARTITION BY tenant_id, domain, aggregate_id, path ORDER BY sequence_number DESC) AS r FROM (SELECT *, lag(value) OVER (PARTITION BY tenant_id, domain, aggregate_id, path ORDER BY sequence_number) AS previous FROM {PATHS}) WHERE value IS DISTINCT FROM previous) WHERE r = 1"
+
+
+@query("blame", f"SELECT b.*, current_sequence > 10000 AS is_truncated FROM ({BLAMED}) b JOIN heads USING (tenant_id, domain, aggregate_id)")
 def blame(spark, d):
     return folds.blame(el.load(spark, d))
 
 
-@query("step_frame", "SELECT a.tenant_id, a.domain, a.aggregate_id, a.event_type_name, a.count, b.count AS previous_count, h.current_sequence AS total_events, true AS has_previous, a.sequence_number < h.current_sequence AS has_next FROM st a JOIN st b ON a.aggregate_id = b.aggregate_id AND b.sequence_number = a.sequence_number - 1 JOIN heads h ON h.aggregate_id = a.aggregate_id WHERE a.sequence_number = 12")
+@query("blame_truncated", f"SELECT * FROM (SELECT b.tenant_id, b.domain, b.aggregate_id, path, value, previous, CASE WHEN changed_at > current_sequence - 3 THEN changed_at END AS changed_at, CASE WHEN changed_at > current_sequence - 3 THEN changed_by END AS changed_by, true AS is_truncated FROM ({BLAMED}) b JOIN heads USING (tenant_id, domain, aggregate_id) QUALIFY row_number() OVER (PARTITION BY aggregate_id ORDER BY path) <= 2)")
+def blame_truncated(spark, d):
+    return folds.blame(el.load(spark, d), most_events=3, most_fields=2).drop("changed_ts", "correlation_id", "changed_user")
+
+
+@query("step_frame", "SELECT a.tenant_id, a.domain, a.aggregate_id, a.event_type_name, a.payload, a.count, CAST(a.spent AS DOUBLE) AS spent, b.count AS previous_count, CAST(b.spent AS DOUBLE) AS previous_spent, b.last_purchase AS previous_last_purchase, h.current_sequence AS total_events, a.sequence_number > (SELECT min(sequence_number) FROM ev) AS has_previous, a.sequence_number < h.current_sequence AS has_next FROM st a LEFT JOIN st b ON a.aggregate_id = b.aggregate_id AND b.sequence_number = a.sequence_number - 1 JOIN heads h ON h.aggregate_id = a.aggregate_id WHERE a.sequence_number = 12")
 def step_frame(spark, d):
-    return folds.step_frame(el.load(spark, d), 12).select(*ID, "event_type_name", "count", "previous_count", "total_events", "has_previous", "has_next")
+    frame = with_doubles(folds.step_frame(el.load(spark, d), 12)).withColumn("previous_spent", F.col("previous_spent").cast("double"))
+    return frame.select(*ID, "event_type_name", "payload", "count", "spent", "previous_count", "previous_spent", "previous_last_purchase", "total_events", "has_previous", "has_next")
 
 
 @query("bisect_first_divergence", "SELECT s.tenant_id, s.domain, s.aggregate_id, min(s.sequence_number) AS diverged_at, arg_min(s.event_type_name, s.sequence_number) AS event_type_name FROM st s JOIN st g ON g.aggregate_id = s.aggregate_id AND g.sequence_number = 5 WHERE s.sequence_number > 5 AND s.sequence_number <= 40 AND (s.count <> g.count OR s.spent <> g.spent) GROUP BY ALL")
@@ -273,28 +255,98 @@ def bisect_first_divergence(spark, d):
     return folds.first_divergence(el.load(spark, d), 5, 40, ("count", "spent"))
 
 
-@query("bisect_steps", None)
+@query("bisect_steps", """, steps(tenant_id, domain, aggregate_id, good, low, high, step, middle, verdict) AS (
+  SELECT tenant_id, domain, aggregate_id, spent, 5, 40, 0, CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR) FROM st WHERE sequence_number = 5
+  UNION ALL SELECT s.tenant_id, s.domain, s.aggregate_id, s.good, CASE WHEN st.spent = s.good THEN st.sequence_number ELSE s.low END, CASE WHEN st.spent = s.good THEN s.high ELSE st.sequence_number END, s.step + 1, st.sequence_number, CASE WHEN st.spent = s.good THEN 'good' ELSE 'bad' END
+  FROM steps s JOIN st ON st.aggregate_id = s.aggregate_id AND st.sequence_number = s.low + (s.high - s.low) // 2 WHERE s.high - s.low > 1)
+SELECT tenant_id, domain, aggregate_id, step, middle, verdict, high - low <= 1 AS converged FROM steps WHERE step > 0""", EV.replace("WITH ev0", "WITH RECURSIVE ev0"))
 def bisect_steps(spark, d):
     states = folds.timeline(el.load(spark, d).where("sequence_number <= 40"))
     return folds.bisect_steps(states, 5, 40, ("spent",))
 
 
-@query("replay_status", "SELECT tenant_id, domain, aggregate_id, CASE WHEN count(*) = max(sequence_number) THEN 'Succeeded' ELSE 'Failed' END AS status, CASE WHEN count(*) <> max(sequence_number) THEN 'MissingEvents' END AS error, CASE WHEN count(*) = max(sequence_number) THEN max(sequence_number) ELSE min(CASE WHEN sequence_number <> r THEN sequence_number END) - 1 END AS last_applied FROM (SELECT *, row_number() OVER (PARTITION BY aggregate_id ORDER BY sequence_number) AS r FROM ev WHERE event_id % 97 <> 0) GROUP BY ALL")
+@query("replay_status", """SELECT tenant_id, domain, aggregate_id, CASE WHEN hole IS NULL THEN 'Succeeded' ELSE 'Failed' END AS status, CASE WHEN hole IS NOT NULL THEN 'Unexpected' END AS error, hole AS failed_sequence, CASE WHEN hole IS NOT NULL THEN '' END AS failed_type, CASE WHEN hole IS NULL THEN head ELSE 0 END AS last_applied
+FROM (SELECT tenant_id, domain, aggregate_id, min(CASE WHEN sequence_number <> r THEN r END) AS hole, max(sequence_number) AS head FROM (SELECT *, row_number() OVER (PARTITION BY aggregate_id ORDER BY sequence_number) AS r FROM ev WHERE event_id % 97 <> 0) GROUP BY ALL)""")
 def replay_status(spark, d):
-    return folds.replay_status(el.with_gaps(el.load(spark, d)), TYPES)
+    return folds.replay_status(el.with_gaps(el.load(spark, d)), folds.Handlers(TYPES))
+
+
+@query("replay_errors", """SELECT tenant_id, domain, aggregate_id, CASE WHEN repeated IS NOT NULL THEN 'Failed' WHEN hit IS NULL THEN 'Succeeded' WHEN kind = 'signup' THEN 'Failed' ELSE 'Partial' END AS status,
+  CASE WHEN repeated IS NOT NULL THEN 'Unexpected' WHEN kind = 'signup' THEN 'UnknownEventType' WHEN hit IS NOT NULL THEN 'ApplyFailed' END AS error, coalesce(repeated, hit) AS failed_sequence, CASE WHEN repeated IS NOT NULL THEN again ELSE kind END AS failed_type, CASE WHEN repeated IS NOT NULL THEN 0 WHEN hit IS NULL THEN head ELSE hit - 1 END AS last_applied
+FROM (SELECT tenant_id, domain, aggregate_id, min(sequence_number) FILTER (WHERE event_id % 101 = 0) AS repeated, arg_min(event_type_name, sequence_number) FILTER (WHERE event_id % 101 = 0) AS again,
+  min(sequence_number) FILTER (WHERE broken) AS hit, arg_min(event_type_name, sequence_number) FILTER (WHERE broken) AS kind, max(sequence_number) AS head FROM (SELECT *, event_type_name = 'signup' OR (event_type_name = 'purchase' AND value > 50) AS broken FROM ev WHERE sequence_number <= 20) GROUP BY ALL)""")
+def replay_errors(spark, d):
+    """Repeated events fail a stream before anything is applied; then an unknown type fails it, and a handler that throws leaves it partial."""
+    fails = (F.col("event_type_name") == "purchase") & (F.col("value") > 50)
+    return folds.replay_status(el.with_repeats(el.load(spark, d)), folds.Handlers(tuple(x for x in TYPES if x != "signup")), 20, fails)
+
+
+HANDLERS = ("Acme.Events.Clicked", "Acme.Events.Bought", "Acme.Sales.Failed", "Acme.A.Seen", "Acme.B.Seen", "Acme.Sales+Joined")
+STORED = {"click": "Acme.Events.Clicked, Acme, Version=1.0", "error": "Old.Space.Acme.Sales.Failed", "view": "Legacy+Seen", "purchase": "Bought"}
 
 
-@query("sandbox_outcomes", "SELECT tenant_id, aggregate_id, CASE WHEN count = 0 THEN 'rejected' ELSE 'accepted' END AS outcome, CASE WHEN count > 0 THEN 'error' END AS produced, greatest(count - 1, 0) AS count_after FROM st WHERE sequence_number = 25")
+@query("apply_resolution", f""", hn AS (SELECT full_name, regexp_extract(full_name, '([^.+]*)$', 1) AS short_name FROM (SELECT unnest({list(HANDLERS)}) AS full_name)),
+keys AS (SELECT full_name AS key, full_name FROM hn UNION SELECT short_name, full_name FROM hn),
+n AS (SELECT stored, split_part(stored, ',', 1) AS name FROM (SELECT DISTINCT CASE event_type_name WHEN 'click' THEN 'Acme.Events.Clicked, Acme, Version=1.0' WHEN 'error' THEN 'Old.Space.Acme.Sales.Failed' WHEN 'view' THEN 'Legacy+Seen' WHEN 'purchase' THEN 'Bought' ELSE 'Nobody.' || event_type_name END AS stored FROM ev)),
+hits AS (SELECT stored, 1 AS turn, 0 AS len, full_name FROM n JOIN hn ON name = full_name UNION ALL SELECT stored, 2, 0, full_name FROM n JOIN hn ON name = short_name UNION ALL SELECT stored, 3, -length(key), full_name FROM n JOIN keys ON ends_with(name, '.' || key) OR ends_with(name, '+' || key)),
+best AS (SELECT * FROM hits QUALIFY rank() OVER (PARTITION BY stored ORDER BY turn, len) = 1)
+SELECT n.stored, CASE count(full_name) WHEN 0 THEN 'Unknown' WHEN 1 THEN 'Resolved' ELSE 'Ambiguous' END AS outcome, coalesce(string_agg(full_name, ',' ORDER BY full_name), '') AS names FROM n LEFT JOIN best b ON n.stored = b.stored GROUP BY n.stored""")
+def apply_resolution(spark, d):
+    kind = F.col("event_type_name")
+    stored = F.concat(F.lit("Nobody."), kind)
+    for own, name in STORED.items():
+        stored = F.when(kind == own, name).otherwise(stored)
+    rows = el.load(spark, d).select(stored.alias("stored")).distinct()
+    found = folds.resolved(F.col("stored"), folds.Handlers(HANDLERS))
+    return rows.select("stored", found["outcome"].alias("outcome"), F.array_join(found["names"], ",").alias("names"))
+
+
+def decrement(rows: DataFrame) -> DataFrame:
+    fine = F.col("count") > 0
+    return rows.withColumn("outcome", F.when(fine, "accepted").otherwise("rejected")).withColumn("produced", F.when(fine, "error"))
+
+
+@query("sandbox_outcomes", "SELECT tenant_id, aggregate_id, CASE WHEN count = 0 THEN 'rejected' ELSE 'accepted' END AS outcome, CASE WHEN count > 0 THEN 'error' END AS produced, greatest(count - 1, 0) AS count_after, CAST(spent AS DOUBLE) AS spent_after FROM (SELECT *, row_number() OVER (PARTITION BY aggregate_id ORDER BY sequence_number DESC) AS back FROM st WHERE sequence_number <= 55) WHERE back = 1")
 def sandbox_outcomes(spark, d):
     log = el.load(spark, d)
     asked = log.select(*ID).distinct().withColumn("command", F.lit("decrement"))
+    out = folds.sandbox(log, asked, decrement, 55)
+    return out.select("tenant_id", "aggregate_id", "outcome", "produced", "count_after", F.col("spent_after").cast("double").alias("spent_after"))
+
+
+COUNTED = """, cs AS (SELECT *, CASE event_type_name WHEN 'click' THEN 'CounterIncremented' WHEN 'view' THEN 'CounterDecremented' WHEN 'signup' THEN 'CounterReset' WHEN 'error' THEN CASE WHEN event_id % 40 = 0 THEN 'CounterClosed' ELSE 'CounterCannotGoNegative' END ELSE 'Other' END AS kind FROM ev),
+grouped AS (SELECT *, sum(CASE WHEN kind = 'CounterReset' THEN 1 ELSE 0 END) OVER (PARTITION BY aggregate_id ORDER BY sequence_number) AS g FROM cs),
+final AS (SELECT tenant_id, domain, aggregate_id, CAST(sum(CASE kind WHEN 'CounterIncremented' THEN 1 WHEN 'CounterDecremented' THEN -1 ELSE 0 END) FILTER (WHERE g = top) AS BIGINT) AS count, CASE WHEN bool_or(kind = 'CounterClosed') THEN true END AS is_terminated FROM (SELECT *, max(g) OVER (PARTITION BY aggregate_id) AS top FROM grouped) GROUP BY ALL)
+"""
 
-    def decider(rows: DataFrame) -> DataFrame:
-        fine = F.col("count") > 0
-        return rows.withColumn("outcome", F.when(fine, "accepted").otherwise("rejected")).withColumn("produced", F.when(fine, "error"))
 
-    out = folds.decide(log, asked, decider, 25).where("sequence_number = 25")
-    return out.select("tenant_id", "aggregate_id", "outcome", "produced", F.greatest(F.col("count") - 1, F.lit(0).cast("long")).alias("count_after"))
+def counted(spark, d):
+    kind = F.col("event_type_name")
+    close = F.when(F.col("event_id") % 40 == 0, "CounterClosed").otherwise("CounterCannotGoNegative")
+    own = F.when(kind == "click", "CounterIncremented").when(kind == "view", "CounterDecremented").when(kind == "signup", "CounterReset").when(kind == "error", close).otherwise("Other")
+    return el.load(spark, d).withColumn("event_type_name", own)
+
+
+@query("counter_sample", COUNTED + "SELECT tenant_id, domain, aggregate_id, count, is_terminated FROM final")
+def counter_sample(spark, d):
+    return folds.at(counted(spark, d), None, samples.COUNTER).select(*ID, "count", "is_terminated")
+
+
+@query("counter_decisions", COUNTED + """SELECT tenant_id, aggregate_id, command, CASE WHEN is_terminated THEN 'rejected' WHEN command = 'DecrementCounter' AND count = 0 THEN 'rejected' WHEN command = 'ResetCounter' AND count = 0 THEN 'no-op' WHEN command = 'Dance' THEN 'error' ELSE 'accepted' END AS outcome,
+  CASE WHEN is_terminated THEN 'AggregateTerminated' WHEN command = 'IncrementCounter' THEN 'CounterIncremented' WHEN command = 'DecrementCounter' THEN CASE WHEN count = 0 THEN 'CounterCannotGoNegative' ELSE 'CounterDecremented' END WHEN command = 'ResetCounter' AND count <> 0 THEN 'CounterReset' WHEN command = 'CloseCounter' THEN 'CounterClosed' END AS produced
+  FROM final, (SELECT unnest(['IncrementCounter', 'DecrementCounter', 'ResetCounter', 'CloseCounter', 'Dance']) AS command)""")
+def counter_decisions(spark, d):
+    log = counted(spark, d)
+    commands = F.array(*map(F.lit, ("IncrementCounter", "DecrementCounter", "ResetCounter", "CloseCounter", "Dance")))
+    asked = log.select(*ID).distinct().withColumn("command", F.explode(commands))
+    return folds.decide(log, asked, samples.counter, None, samples.COUNTER).select("tenant_id", "aggregate_id", "command", "outcome", "produced")
+
+
+@query("greeting_sample", "SELECT tenant_id, domain, aggregate_id, count(*) FILTER (WHERE event_type_name = 'click') AS message_count, 'accepted' AS outcome FROM ev GROUP BY ALL")
+def greeting_sample(spark, d):
+    log = el.load(spark, d).replace({"click": "GreetingSent"}, subset=["event_type_name"])
+    asked = log.select(*ID).distinct().withColumn("command", F.lit("SendGreeting"))
+    return folds.decide(log, asked, samples.greeting, None, samples.GREETING).select(*ID, "message_count", "outcome")
 
 
 # lineage -----------------------------------------------------------------------------------------------
@@ -309,15 +361,33 @@ def causation_closure(spark, d):
     return lineage.closure(el.load(spark, d))
 
 
-@query("correlation_trace", "SELECT c.tenant_id, c.domain, c.aggregate_id, c.correlation_id, c.status, n AS event_count, f AS first_sequence, l AS last_sequence, CAST(0 AS BIGINT) AS rejections, false AS scan_capped FROM cmds c JOIN (SELECT aggregate_id, correlation_id, count(*) AS n, min(sequence_number) AS f, max(sequence_number) AS l FROM ev GROUP BY ALL) USING (aggregate_id, correlation_id)")
+@query("causation_chain", f"SELECT CASE WHEN sequence_number = 9 THEN 0 ELSE 1 END AS place, message_id, event_type_name, sequence_number, nullif(causation_id, '') AS originating_command_id FROM ev WHERE {ONE} AND (sequence_number = 9 OR causation_id = (SELECT message_id FROM ev WHERE {ONE} AND sequence_number = 9))")
+def causation_chain(spark, d):
+    return lineage.chain(el.load(spark, d), *STREAM, 9)
+
+
+TRACED = """SELECT c.tenant_id, c.domain, c.aggregate_id, c.correlation_id, {status}, 'Resolved' AS outcome, coalesce(n, 0) AS event_count, f AS first_sequence, l AS last_sequence, coalesce(r, 0) AS rejections, h.current_sequence > {newest} AS scan_capped
+FROM cmds c JOIN heads h USING (tenant_id, domain, aggregate_id) LEFT JOIN (SELECT aggregate_id, correlation_id, count(*) AS n, min(sequence_number) AS f, max(sequence_number) AS l, count(*) FILTER (WHERE {rejected}) AS r FROM ev JOIN heads USING (tenant_id, domain, aggregate_id) WHERE sequence_number > current_sequence - {newest} GROUP BY ALL) USING (aggregate_id, correlation_id)"""
+
+
+@query("correlation_trace", TRACED.format(status="c.status, false AS status_expired", newest=10000, rejected="lower(event_type_name) LIKE '%rejected' OR lower(event_type_name) LIKE '%rejection%'"))
 def correlation_trace(spark, d):
     log = el.load(spark, d)
     return lineage.trace(log, el.commands(log))
 
 
-@query("correlation_resolution", "SELECT correlation_id, count(DISTINCT aggregate_id) AS streams, CASE WHEN count(DISTINCT aggregate_id) = 1 THEN 'Resolved' ELSE 'Ambiguous' END AS outcome FROM ev GROUP BY 1")
+@query("correlation_trace_capped", TRACED.format(status="CASE WHEN ts >= TIMESTAMP '2024-01-15' THEN c.status END AS status, ts < TIMESTAMP '2024-01-15' AS status_expired", newest=20, rejected="event_type_name IN ('error', 'signup')"))
+def correlation_trace_capped(spark, d):
+    """Scans of the newest 20 events, rejections among them, and statuses that have expired."""
+    log = el.load(spark, d)
+    told = log.replace({"error": "OrderREJECTED", "signup": "RejectionNoted", "click": "RejectedNot"}, subset=["event_type_name"])
+    return lineage.trace(told, el.commands(log), 20, F.lit("2024-01-16").cast("timestamp_ntz"))
+
+
+@query("correlation_resolution", "SELECT correlation_id, count(DISTINCT aggregate_id) AS streams, CASE WHEN count(DISTINCT aggregate_id) = 1 THEN 'Resolved' ELSE 'Ambiguous' END AS outcome FROM (SELECT aggregate_id, CASE WHEN event_id % 5 = 0 THEN 'shared-' || (event_id % 20) ELSE correlation_id END AS correlation_id FROM ev) GROUP BY 1")
 def correlation_resolution(spark, d):
-    return lineage.resolution(el.load(spark, d))
+    shared = F.when(F.col("event_id") % 5 == 0, F.concat(F.lit("shared-"), F.col("event_id") % 20)).otherwise(F.col("correlation_id"))
+    return lineage.resolution(el.load(spark, d).withColumn("correlation_id", shared))
 
 
 # commands ----------------------------------------------------------------------------------------------
@@ -333,11 +403,6 @@ def replay_eligible(spark, d):
     return el.commands(el.load(spark, d)).where(F.col("status").isin("Rejected", "PublishFailed", "TimedOut")).select("correlation_id", "status")
 
 
-@query("command_latest_status", "SELECT correlation_id, arg_max(event_type_name, sequence_number) AS latest, max(sequence_number) AS sequence_number FROM ev GROUP BY 1")
-def command_latest_status(spark, d):
-    return el.load(spark, d).groupBy("correlation_id").agg(F.max_by("event_type_name", "sequence_number").alias("latest"), F.max("sequence_number").alias("sequence_number"))
-
-
 # health ------------------------------------------------------------------------------------------------
 
 @query("health_uptime", "SELECT component, round(avg(CASE WHEN status = 'Healthy' THEN 1.0 ELSE 0.0 END) * 100, 6) AS uptime_percent, count(*) AS samples FROM hs GROUP BY 1")
@@ -401,24 +466,46 @@ def retry_schedule(spark, d):
     return spark.range(1, 13).select(F.col("id").alias("attempt"), projections.retry_delay(F.col("id")).alias("seconds"))
 
 
-@query("prefix_fingerprint", None)
+def _part(x: str) -> str:
+    return f"CASE WHEN {x} IS NULL THEN unhex('ffffffff') ELSE {_le(f'octet_length(encode({x}))', 8)} || encode({x}) END"
+
+
+def _le(x: str, digits: int) -> str:
+    return f"unhex(array_to_string(list_reverse(regexp_extract_all(lpad(to_hex({x}), {digits}, '0'), '..')), ''))"
+
+
+def _label(x: bytes) -> str:
+    return f"unhex('{x.hex()}')"
+
+
+@query("prefix_fingerprint", f""", told AS (SELECT tenant_id, domain, aggregate_id, sequence_number, unhex(sha256({_label(projections.EVENT)} || {_le('sequence_number', 16)} || {_part('message_id')} || {_part('event_type_name')} || {_part('payload')} || {_part('CAST(NULL AS VARCHAR)')} || {_le('epoch_us(ts) * 10 + 621355968000000000', 16)} || {_part('correlation_id')} || {_part('CAST(user_id AS VARCHAR)')})) AS event FROM ev),
+chain AS (SELECT tenant_id, domain, aggregate_id, CAST(0 AS BIGINT) AS sequence_number, unhex(sha256({_label(projections.PREFIX)} || {_part('tenant_id')} || {_part('domain')} || {_part('aggregate_id')} || {_part("'counter'")})) AS state FROM heads
+  UNION ALL SELECT c.tenant_id, c.domain, c.aggregate_id, t.sequence_number, unhex(sha256({_label(projections.STEP)} || c.state || t.event)) FROM chain c JOIN told t ON t.aggregate_id = c.aggregate_id AND t.sequence_number = c.sequence_number + 1)
+SELECT c.tenant_id, c.domain, c.aggregate_id, sequence_number, 'v1:' || rtrim(replace(replace(to_base64(state), '+', '-'), '/', '_'), '=') AS fingerprint FROM chain c JOIN heads h USING (tenant_id, domain, aggregate_id) WHERE sequence_number = current_sequence""", EV.replace("WITH ev0", "WITH RECURSIVE ev0"))
 def prefix_fingerprint(spark, d):
     return projections.prefix_fingerprints(el.load(spark, d), "counter")
 
 
 # scalars -----------------------------------------------------------------------------------------------
 
-@query("message_type_parts", "SELECT DISTINCT v, CASE WHEN v LIKE 'act%' THEN regexp_extract(v, '^([a-z0-9]+)-', 1) END AS type_domain, CASE WHEN v LIKE 'act%' THEN regexp_extract(v, '^[a-z0-9]+-(.*)-v[0-9]+$', 1) END AS type_name, CASE WHEN v LIKE 'act%' THEN CAST(regexp_extract(v, '-v([0-9]+)$', 1) AS INTEGER) END AS type_version FROM (SELECT CASE WHEN event_type_name = 'view' THEN 'Bad-view-v1' ELSE 'activity-' || event_type_name || '-done-v' || (event_id % 3 + 1) END AS v FROM ev)")
+@query("message_type_parts", r"""SELECT DISTINCT v, CASE WHEN ok THEN split_part(v, '-', 1) END AS type_domain, CASE WHEN ok THEN regexp_extract(v, '^[a-z0-9]+-(.*)-v[0-9]+$', 1) END AS type_name, CASE WHEN ok THEN CAST(regexp_extract(v, '-v([0-9]+)$', 1) AS INTEGER) END AS type_version
+FROM (SELECT v, regexp_full_match(v, '[a-z0-9]+-[a-z0-9]([a-z0-9-]*[a-z0-9])?-v[0-9]+') AND TRY_CAST(regexp_extract(v, '-v([0-9]+)$', 1) AS INTEGER) >= 1 AND length(v) <= 192 AS ok FROM (SELECT CASE event_type_name WHEN 'view' THEN 'Bad-view-v1' WHEN 'click' THEN 'activity--click-v1' WHEN 'error' THEN 'activity-error--v1-v0' || (event_id % 3) WHEN 'signup' THEN 'activity-' || repeat('s', CAST(170 + event_id % 20 AS INTEGER)) || '-v7' ELSE 'activity-' || event_type_name || '-done-v' || (event_id % 3) END AS v FROM ev))""")
 def message_type_parts(spark, d):
-    made = F.when(F.col("event_type_name") == "view", "Bad-view-v1").otherwise(F.concat(F.lit("activity-"), "event_type_name", F.lit("-done-v"), (F.col("event_id") % 3 + 1).cast("string")))
+    kind, turn = F.col("event_type_name"), F.col("event_id") % 3
+    long = F.concat(F.lit("activity-"), F.repeat(F.lit("s"), (170 + F.col("event_id") % 20).cast("int")), F.lit("-v7"))
+    made = F.when(kind == "view", "Bad-view-v1").when(kind == "click", "activity--click-v1").when(kind == "error", F.concat(F.lit("activity-error--v1-v0"), turn)).when(kind == "signup", long).otherwise(F.concat(F.lit("activity-"), kind, F.lit("-done-v"), turn))
     rows = el.load(spark, d).select(made.alias("v")).distinct()
     return rows.select("v", *[c.alias(n) for n, c in scalars.message_type(F.col("v")).items()])
 
 
-@query("topic_names", "SELECT DISTINCT tenant_id, tenant_id || '.' || domain || '.events' AS topic, true AS valid FROM ev")
+@query("topic_names", r"""SELECT DISTINCT tenant, topic, regexp_full_match(topic, '[a-z0-9]([a-z0-9-]*[a-z0-9])?(\.[a-z0-9]([a-z0-9-]*[a-z0-9])?)?\.events') AND length(topic) <= 249 AS valid, regexp_full_match(topic, '[a-z0-9]([a-z0-9-]*[a-z0-9])?(\.[a-z0-9]([a-z0-9-]*[a-z0-9])?)?\.events') AND length(topic) BETWEEN 201 AND 249 AS warns FROM (SELECT tenant, CASE WHEN tenant = 'system' THEN domain || '.events' ELSE tenant || '.' || domain || '.events' END AS topic FROM (SELECT domain, CASE event_type_name WHEN 'view' THEN 'system' WHEN 'click' THEN upper(tenant_id) WHEN 'error' THEN tenant_id || '.' WHEN 'signup' THEN tenant_id || repeat('x', CAST(195 + event_id % 60 AS INTEGER)) ELSE tenant_id END AS tenant FROM ev))""")
 def topic_names(spark, d):
-    name = scalars.topic(F.col("tenant_id"), F.col("domain"))
-    return el.load(spark, d).select("tenant_id", "domain").distinct().select("tenant_id", name.alias("topic"), scalars.topic_valid(name).alias("valid"))
+    kind, own = F.col("event_type_name"), F.col("tenant_id")
+    long = F.concat(own, F.repeat(F.lit("x"), (195 + F.col("event_id") % 60).cast("int")))
+    tenant = F.when(kind == "view", "system").when(kind == "click", F.upper(own)).when(kind == "error", F.concat(own, F.lit("."))).when(kind == "signup", long).otherwise(own)
+    rows = el.load(spark, d).select(tenant.alias("tenant"), "domain").distinct()
+    name = scalars.topic(F.col("tenant"), F.col("domain"))
+    return rows.select("tenant", name.alias("topic"), scalars.topic_valid(name).alias("valid"), scalars.topic_warns(name).alias("warns"))
 
 
 @query("identity_valid", "SELECT DISTINCT aggregate_id, tenant_id || ':' || domain || ':' || aggregate_id AS actor_id, user_id % 2 = 0 AS valid FROM ev")
@@ -439,11 +526,15 @@ def payload_numbers(spark, d):
     return el.load(spark, d).select("message_id", scalars.tolerant_long(F.col("payload"), "$.k").alias("k"))
 
 
-@query("type_labels", "SELECT DISTINCT domain, 'ActivityAggregate' AS label, 'event-type-changed' AS kebab, 'EventTypeChanged' AS short_name FROM ev")
+@query("type_labels", r"""SELECT DISTINCT stored, upper(left(domain, 1)) || substr(domain, 2) || 'Aggregate' AS label, split_part(stored, ',', 1) AS full_name, short_name, lower(regexp_replace(regexp_replace(regexp_replace(short_name, '([a-z0-9])([A-Z])', '\1-\2', 'g'), '([A-Z])([A-Z][a-z])', '\1-\2', 'g'), '([a-zA-Z])([0-9])', '\1-\2', 'g')) AS kebab
+FROM (SELECT domain, stored, regexp_extract(split_part(stored, ',', 1), '([^.+]*)$', 1) AS short_name FROM (SELECT domain, 'Company.Events+' || CASE event_type_name WHEN 'view' THEN 'HTTPViewed' WHEN 'click' THEN 'Order2Clicked' WHEN 'error' THEN 'v2' ELSE upper(left(event_type_name, 1)) || substr(event_type_name, 2) END || (event_id % 4) || CASE WHEN event_id % 3 = 0 THEN ', Company, Version=1.0' ELSE '' END AS stored FROM ev))""")
 def type_labels(spark, d):
-    name = F.lit("Company.Events+EventTypeChanged, Company")
-    short = scalars.type_short_name(name)
-    return el.load(spark, d).select("domain").distinct().select("domain", scalars.aggregate_label(F.col("domain")).alias("label"), scalars.kebab(short).alias("kebab"), short.alias("short_name"))
+    kind = F.col("event_type_name")
+    named = F.when(kind == "view", "HTTPViewed").when(kind == "click", "Order2Clicked").when(kind == "error", "v2").otherwise(F.concat(F.upper(F.substring(kind, 1, 1)), F.substring(kind, 2, 100)))
+    stored = F.concat(F.lit("Company.Events+"), named, F.col("event_id") % 4, F.when(F.col("event_id") % 3 == 0, ", Company, Version=1.0").otherwise(""))
+    rows = el.load(spark, d).select("domain", stored.alias("stored")).distinct()
+    short = scalars.type_short_name(F.col("stored"))
+    return rows.select("stored", scalars.aggregate_label(F.col("domain")).alias("label"), scalars.type_name(F.col("stored")).alias("full_name"), short.alias("short_name"), scalars.kebab(short).alias("kebab"))
 
 
 @query("redacted_events", f"SELECT sequence_number, event_type_name, '[redacted]' AS payload FROM ev WHERE {ONE}")
@@ -460,10 +551,10 @@ def unpublished_ranges(spark, d):
 
 # streaming, in batch form ------------------------------------------------------------------------------
 
-@query("stream_dedupe", "SELECT count(*) AS delivered, count(DISTINCT message_id) AS handled FROM (SELECT * FROM ev UNION ALL SELECT * FROM ev WHERE event_id % 101 = 0)")
+@query("stream_dedupe", "SELECT tenant_id, aggregate_id, sequence_number, message_id, event_type_name FROM ev")
 def stream_dedupe(spark, d):
-    log = el.with_repeats(el.load(spark, d))
-    return log.agg(F.count("*").alias("delivered")).crossJoin(consumers.once_of_all(log).agg(F.count("*").alias("handled")))
+    """Every message once, though some were delivered twice."""
+    return consumers.once_of_all(el.with_repeats(el.load(spark, d))).select("tenant_id", "aggregate_id", "sequence_number", "message_id", "event_type_name")
 
 
 @query("stream_contiguous_prefix", "SELECT tenant_id, domain, aggregate_id, sequence_number, message_id FROM (SELECT *, row_number() OVER (PARTITION BY aggregate_id ORDER BY sequence_number) AS r FROM ev WHERE event_id % 97 <> 0) WHERE r = sequence_number")

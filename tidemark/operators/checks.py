@@ -40,13 +40,13 @@ def metadata_consistency(summary: DataFrame) -> DataFrame:
 
 def projection_positions(projections: DataFrame, overview: DataFrame, most: int = 1000) -> DataFrame:
     """Lag above ``most`` (Warning), position behind the end of the scope's events (Error); a scope without overview is a Warning."""
-    joined = projections.join(F.broadcast(overview), projections["tenant_id"] == overview["scope"], "left")
+    joined = projections.join(overview, projections["tenant_id"] == overview["scope"], "left")
     kind = F.when(F.col("total_events").isNull(), "Warning").when(F.col("last_position") > F.col("total_events"), "Error").when(F.col("lag") > most, "Warning")
     return joined.withColumn("severity", kind).where(F.col("severity").isNotNull()).select("name", "tenant_id", "last_position", "lag", "severity")
 
 
-def report(log: DataFrame, heads: DataFrame, snapshots: DataFrame, summary: DataFrame) -> DataFrame:
-    """All checks in one result: check, identity, sequence (null where none), severity."""
+def report(log: DataFrame, heads: DataFrame, snapshots: DataFrame, summary: DataFrame, projections: DataFrame | None = None, overview: DataFrame | None = None) -> DataFrame:
+    """All checks in one result: check, identity, sequence (null where none), severity. A projection's row has its name as aggregate_id."""
     none = F.lit(None).cast("long").alias("sequence_number")
     parts = [
         gaps(log, heads).select(F.lit("continuity").alias("check"), *ID, "sequence_number", "severity"),
@@ -54,6 +54,9 @@ def report(log: DataFrame, heads: DataFrame, snapshots: DataFrame, summary: Data
         snapshot_integrity(summary, snapshots).select(F.lit("snapshot").alias("check"), *ID, none, "severity"),
         metadata_consistency(summary).select(F.lit("metadata").alias("check"), *ID, none, "severity"),
     ]
+    if projections is not None:
+        own = projection_positions(projections, overview)
+        parts.append(own.select(F.lit("projection").alias("check"), "tenant_id", F.lit("").alias("domain"), F.col("name").alias("aggregate_id"), none, "severity"))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
@@ -63,4 +66,4 @@ def report(log: DataFrame, heads: DataFrame, snapshots: DataFrame, summary: Data
 def worst(anomalies: DataFrame, most: int = 500) -> DataFrame:
     """The worst anomalies: sorted first, then cut, so none of the critical ones is lost to an early cap."""
     rank = F.when(F.col("severity") == "Critical", 3).when(F.col("severity") == "Error", 2).otherwise(1)
-    return anomalies.orderBy(F.desc(rank), "check", *ID, "sequence_number").limit(most)
+    return anomalies.orderBy(F.desc(rank), "check", *ID, F.asc_nulls_first("sequence_number")).limit(most)

@@ -52,10 +52,21 @@ def snapshot_interval(own: Column, pair: Column, domain: Column) -> Column:
     return F.coalesce(own, pair, domain, F.lit(100))
 
 
+RETRY_ATTEMPTS = 8
+
+
+def retry_plan(failed: DataFrame, attempts: int = RETRY_ATTEMPTS) -> DataFrame:
+    """Failed deliveries (failed_at, attempt) with the time of the next attempt; none, and exhausted, once ``attempts`` were made."""
+    over = F.col("attempt") >= attempts
+    wait = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), retry_delay(F.col("attempt")))
+    return failed.withColumn("exhausted", over).withColumn("next_attempt", F.when(~over, F.col("failed_at") + wait))
+
+
 def last_receipts(receipts: Column, most: int = 256) -> Column:
     return F.when(F.size(receipts) > most, F.slice(receipts, -most, most)).otherwise(receipts)
 
 
+# Fingerprints agree with those that others have stored only with these labels.
 EVENT, PREFIX, STEP = (f"hexalith.projection.delivery.{x}.v1".encode() for x in ("event", "prefix", "step"))
 
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions import scalars
 from tidemark.sources.event_log import ID, STATUSES
 
 STATUS_GROUPS = {
@@ -27,11 +28,76 @@ def storage_scopes(log: DataFrame) -> DataFrame:
 
 
 def storage_by_type(log: DataFrame, snapshots: DataFrame) -> DataFrame:
-    """By tenant and domain: events, payload size (null unless known for all streams), streams with and without a snapshot."""
-    streams = log.groupBy(*ID).agg(F.count("*").alias("n"), F.sum(F.octet_length("payload")).alias("size"))
+    """By tenant, domain and aggregate type: events, payload size (null unless known for all streams), streams with and without a snapshot.
+
+    The aggregate type is the log's ``aggregate_type``, or made from the domain where it has no such column.
+    """
+    kind = F.col("aggregate_type") if "aggregate_type" in log.columns else scalars.aggregate_label(F.col("domain"))
+    size = F.when(F.count("payload") == F.count("*"), F.sum(F.octet_length("payload")))
+    streams = log.withColumn("aggregate_type", kind).groupBy(*ID, "aggregate_type").agg(F.count("*").alias("n"), size.alias("size"))
     joined = streams.join(snapshots.select(*ID, F.lit(1).alias("has")).distinct(), list(ID), "left")
     whole = F.when(F.count("size") == F.count("*"), F.sum("size"))
-    return joined.groupBy("tenant_id", "domain").agg(F.sum("n").alias("event_count"), whole.alias("size_bytes"), F.count("has").alias("with_snapshot"), (F.count("*") - F.count("has")).alias("without_snapshot"))
+    return joined.groupBy("tenant_id", "domain", "aggregate_type").agg(F.sum("n").alias("event_count"), whole.alias("size_bytes"), F.count("has").alias("with_snapshot"), (F.count("*") - F.count("has")).alias("without_snapshot"))
+
+
+def bar_chart(rows: DataFrame, label: str, value: str, top: int = 10) -> DataFrame:
+    """The ``top`` sums of value by label, whose case doesn't count: the label as it is written first in order."""
+    sums = rows.groupBy(F.lower(label).alias("__key")).agg(F.min(label).alias(label), F.sum(value).alias(value))
+    return sums.orderBy(F.desc(value), "__key").limit(top).drop("__key")
+
+
+def bucket_stats(buckets: DataFrame, count: str) -> DataFrame:
+    return buckets.agg(F.max(count).alias("highest"), F.sum(count).alias("total"))
+
+
+def growth(rows: DataFrame, value: str) -> DataFrame:
+    """Mean of a value over the rows that have one, and how many have."""
+    return rows.agg(F.avg(value).alias("average_growth"), F.count(value).alias("known"))
+
+
+def most_behind(projections: DataFrame) -> DataFrame:
+    """The projection with the largest lag, ties by name and tenant."""
+    return projections.orderBy(F.desc("lag"), "name", "tenant_id").limit(1)
+
+
+def mean_interval(log: DataFrame, every: int) -> DataFrame:
+    """Mean sequence distance between the snapshots of each tenant, if one is taken each ``every`` events, and the payload bytes between them in sum."""
+    marks = log.where(F.col("sequence_number") % every == 0)
+    w = Window.partitionBy(*ID).orderBy("sequence_number")
+    steps = marks.withColumn("step", F.col("sequence_number") - F.coalesce(F.lag("sequence_number").over(w), F.lit(0)))
+    sizes = log.groupBy("tenant_id").agg(F.sum(F.octet_length("payload")).alias("payload_bytes"))
+    return steps.groupBy("tenant_id").agg(F.avg("step").alias("mean_interval"), F.count("*").alias("snapshots")).join(sizes, "tenant_id", "right")
+
+
+def first_of(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The first row of each key whose case doesn't count, by ``order``."""
+    w = Window.partitionBy(*[F.lower(k) for k in keys]).orderBy(*order)
+    return rows.withColumn("__place", F.row_number().over(w)).where("__place = 1").drop("__place")
+
+
+def in_stable_order(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Sorted without regard to case, equal ones by their exact text; ``place`` from 1 on is for catalogs of a bounded size."""
+    order = [x for c in columns for x in (F.lower(c), F.col(c))]
+    return rows.withColumn("place", F.row_number().over(Window.orderBy(*order)))
+
+
+def newly_seen(rows: DataFrame, before: DataFrame, keys: list[str]) -> DataFrame:
+    """Keys that ``before`` didn't hold, each once."""
+    return rows.select(*keys).distinct().join(before.select(*keys).distinct(), keys, "left_anti")
+
+
+def stream_status(log: DataFrame, now: Column, idle_after: str = "7 days", closing: tuple[str, ...] = ()) -> DataFrame:
+    """Tombstoned if the stream holds an event that closes it, else Active, or Idle where its last event is older than ``idle_after``."""
+    closed = F.bool_or(F.col("event_type_name").isin(*closing)) if closing else F.lit(False)
+    own = log.groupBy(*ID).agg(F.max("ts").alias("last_activity"), closed.alias("closed"))
+    status = F.when(F.col("closed"), "Tombstoned").when(F.col("last_activity") < now - F.expr(f"INTERVAL {idle_after}"), "Idle").otherwise("Active")
+    return own.select(*ID, "last_activity", status.alias("status"))
+
+
+def readable(log: DataFrame) -> DataFrame:
+    """Rows with ``readability``: Readable where the payload is unprotected, Unreadable where only its provider could read it, NeedsKey where it is protected otherwise. The state is read from the ``extensions`` map; none is unprotected."""
+    state = F.coalesce(F.try_element_at("extensions", F.lit("protection-state")), F.lit("Unprotected"))
+    return log.withColumn("readability", F.when(state == "Unprotected", "Readable").when(state == "ProviderOpaque", "Unreadable").otherwise("NeedsKey"))
 
 
 def top_and_other(counts: DataFrame, label: str, value: str, top: int) -> DataFrame:

@@ -96,8 +96,12 @@ class Cursors:
         return position
 
 
-def scope(*parts: str) -> str:
-    """Parts of a cursor's scope, joined so that no two lists of parts give the same text."""
+def scope(*parts: str, watermark: int | None = None) -> str:
+    """Parts of a cursor's scope, joined so that no two lists of parts give the same text; a position ``watermark`` must be positive."""
+    if watermark is not None:
+        if watermark < 1:
+            raise QueryRefused("Watermark")
+        parts = (*parts, f"watermark={watermark}")
     return ":".join(p.replace("\\", "\\\\").replace("|", "\\p").replace(":", "\\c") for p in parts)
 
 
@@ -123,12 +127,16 @@ def ordering(request: Request, unique: Sequence[str]) -> list[tuple[str, bool]]:
 
 
 def after(order: Sequence[tuple[str, bool]], position: Sequence) -> Column:
-    """Rows behind a position in an order: the keyset condition."""
+    """Rows behind a position in an order: the keyset condition. Nulls come first in a rising order and last in a falling one, as the sort places them."""
     out, same = F.lit(False), F.lit(True)
     for (column, down), value in zip(order, position, strict=True):
         c = F.col(column)
-        out = out | (same & ((c < value) if down else (c > value)))
-        same = same & (c == value)
+        if value is None:
+            beyond = F.lit(False) if down else c.isNotNull()
+        else:
+            beyond = (c < F.lit(value)) | c.isNull() if down else c > F.lit(value)
+        out = out | (same & F.coalesce(beyond, F.lit(False)))
+        same = same & c.eqNullSafe(F.lit(value))
     return out
 
 

@@ -39,7 +39,7 @@ def load(spark: SparkSession, sf_dir: str) -> DataFrame:
         "sequence_number", (F.col("event_id") + 1).alias("global_position"), F.concat(F.lit("m-"), F.col("event_id")).alias("message_id"),
         F.concat(F.lit("c-"), F.col("user_id"), F.lit("-"), F.floor((F.col("sequence_number") - 1) / 3)).alias("correlation_id"),
         F.when(F.col("event_id") % 3 != 0, F.coalesce("before", F.lit(""))).otherwise("").alias("causation_id"),
-        F.col("event_type").alias("event_type_name"), "value", F.col("props").alias("payload"), "ts", "event_id",
+        F.col("event_type").alias("event_type_name"), "value", F.col("props").alias("payload"), "ts", "event_id", F.col("user_id").cast("string").alias("user_id"),
     )
 
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
+from tidemark.operators.folds import Counter, Reducer
 from tidemark.sources.event_log import ID
 
 
@@ -26,9 +29,14 @@ def once_of_all(log: DataFrame) -> DataFrame:
     return log.dropDuplicates(["message_id"])
 
 
-def classify(stream: DataFrame, known: tuple[str, ...]) -> DataFrame:
-    """A column ``problem`` of rows that can't be handled (unknown type, payload that isn't JSON); null for the rest."""
-    problem = F.when(~F.col("event_type_name").isin(*known), "UnknownEventType").when(F.try_parse_json("payload").isNull(), "InvalidPayload")
+def classify(stream: DataFrame, known: tuple[str, ...], handled: tuple[str, ...] | None = None) -> DataFrame:
+    """A column ``problem`` of rows that are completed without being handled: UnsupportedFormat, UnknownEventType, InvalidPayload, NoHandler; null for the rest.
+
+    ``known`` types can be read, those in ``handled`` (all of them, if not given) have a handler.
+    """
+    form = F.lower("serialization_format") if "serialization_format" in stream.columns else F.lit("json")
+    problem = F.when(~form.eqNullSafe(F.lit("json")), "UnsupportedFormat").when(~F.coalesce(F.col("event_type_name").isin(*known), F.lit(False)), "UnknownEventType").when(F.try_parse_json("payload").isNull(), "InvalidPayload")
+    problem = problem if handled is None else problem.when(~F.col("event_type_name").isin(*handled), "NoHandler")
     return stream.withColumn("problem", problem)
 
 
@@ -56,6 +64,43 @@ def contiguous(stream: DataFrame) -> DataFrame:
     return stream.select(*ID, "sequence_number", "message_id").groupBy(*ID).applyInPandasWithState(step, schema, state, "append", GroupStateTimeout.NoTimeout)
 
 
+def running(stream: DataFrame, reducer: Reducer) -> DataFrame:
+    """The reducer's counters after each event of a stream, for streams that deliver each event once and in order: what ``contiguous`` or a log in order gives.
+
+    What an event adds and resets is worked out in the JVM; the state of a stream is one number for each counter.
+    Amounts are carried as decimals in text, so they add up exactly.
+    """
+    names = [n for n, rule in reducer.fields.items() if isinstance(rule, Counter)]
+    rules = [reducer.fields[n] for n in names]
+    amounts = []
+    for rule in rules:
+        own = F.lit(0).cast(rule.kind)
+        for kind, expression in rule.add.items():
+            own = F.when(F.col("event_type_name") == kind, F.expr(expression).cast(rule.kind)).otherwise(own)
+        resets = F.col("event_type_name").isin(*rule.reset) if rule.reset else F.lit(False)
+        amounts.append(F.struct(own.cast("string").alias("add"), resets.alias("reset")))
+    floors = [rule.floor for rule in rules]
+    columns = [*ID, "sequence_number", *names]
+    schema = "tenant_id string, domain string, aggregate_id string, sequence_number long, " + ", ".join(f"`{n}` string" for n in names)
+
+    def step(key, batches, store):
+        sums = [Decimal(x) for x in store.get[0]] if store.exists else [Decimal(0)] * len(names)
+        out = []
+        for pdf in batches:
+            for n, own in sorted(zip(pdf["sequence_number"], pdf["amounts"], strict=True), key=lambda r: r[0]):
+                for k, x in enumerate(own):
+                    total = Decimal(0) if x["reset"] else sums[k]
+                    total += Decimal(x["add"] or "0")
+                    sums[k] = max(total, Decimal(0)) if floors[k] else total
+                out.append((*key, int(n), *map(str, sums)))
+        store.update(([str(x) for x in sums],))
+        yield pd.DataFrame(out, columns=columns)
+
+    told = stream.select(*ID, "sequence_number", F.array(*amounts).alias("amounts"))
+    folded = told.groupBy(*ID).applyInPandasWithState(step, schema, "sums array<string>", "append", GroupStateTimeout.NoTimeout)
+    return folded.select(*ID, "sequence_number", *[F.col(n).cast(rule.kind).alias(n) for n, rule in zip(names, rules, strict=True)])
+
+
 def contiguous_prefix(log: DataFrame) -> DataFrame:
     """The batch form: events up to the first gap, each once."""
     from pyspark.sql import Window
@@ -68,3 +113,22 @@ def deliver(stream: DataFrame, handle, checkpoint: str, every: str | None = None
     """Run ``handle(batch, batch_id)`` on each micro-batch: on all there is and stop, or by a processing-time interval."""
     writer = stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+
+
+def deliver_or_bury(stream: DataFrame, known: tuple[str, ...], handle, dead: str, checkpoint: str, every: str | None = None):
+    """``deliver`` the rows without a problem; the others are written to dead letters at ``dead``, with what is wrong. A batch that runs again writes its dead letters to the same place."""
+
+    def batch(rows: DataFrame, number: int) -> None:
+        told = classify(rows, known).persist()
+        try:
+            told.where("problem IS NOT NULL").withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{dead}/batch={number}")
+            handle(told.where("problem IS NULL").drop("problem"), number)
+        finally:
+            told.unpersist()
+
+    return deliver(stream, batch, checkpoint, every)
+
+
+def position_watermark(log: DataFrame) -> DataFrame:
+    """The highest global position by tenant, if it is positive: what a cursor carries to say up to where it has read."""
+    return log.groupBy("tenant_id").agg(F.max("global_position").alias("watermark")).where("watermark > 0")
