@@ -56,20 +56,30 @@ def erased(entries: DataFrame, keys: DataFrame, now: Column | None = None) -> Da
 
 
 class Store:
-    """A table of entries at a path of the shared storage."""
+    """A table of entries at a path of the shared storage, a folder for each batch of writes.
+
+    Every state of the table is read by the list of its folders: scans of one path that has grown in between would pass for the same.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+        self.spark, self.path, self.parts = spark, path, []
         self.log = spark.createDataFrame([], ENTRY)
 
+    def _read(self) -> None:
+        self.log = self.spark.read.schema(ENTRY).parquet(*self.parts) if self.parts else self.spark.createDataFrame([], ENTRY)
+
     def _append(self, rows: DataFrame) -> None:
         part = f"{self.path}/batch-{uuid.uuid4().hex}"
         rows.select("key", "value", F.col("version").cast("long"), F.col("written_at"), F.col("expires_at"), F.col("erased")).write.parquet(part)
-        self.log = self.spark.read.schema(ENTRY).option("recursiveFileLookup", "true").parquet(self.path)
+        self.parts.append(part)
+        self._read()
 
     def open(self) -> Store:
         """Read what earlier drivers have written."""
-        self.log = self.spark.read.schema(ENTRY).option("recursiveFileLookup", "true").parquet(self.path)
+        root = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        found = root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).listStatus(root)
+        self.parts = sorted(f"{self.path}/{f.getPath().getName()}" for f in found if f.isDirectory())
+        self._read()
         return self
 
     def get(self, keys: DataFrame | None = None, now: Column | None = None) -> DataFrame:
@@ -98,7 +108,7 @@ class Store:
         """Read each key, let ``change`` make the next ``value`` of (key, value, version), and save it if the version still stands; what conflicts is read and tried again, ``attempts`` times in all. Returns key and outcome Saved or RetryExhausted."""
         done, left = None, keys.select("key").distinct()
         for _ in range(attempts):
-            read = left.join(self.get(left), "key", "left").select("key", "value", F.coalesce("version", F.lit(0)).alias("expected"))
+            read = held(left.join(self.get(left), "key", "left").select("key", "value", F.coalesce("version", F.lit(0)).alias("expected")))
             told = self.try_save(change(read).select("key", "value", "expected").withColumn("place", F.lit(0)))
             saved = told.where("outcome = 'Saved'").select("key", "outcome")
             done = saved if done is None else done.unionByName(saved)

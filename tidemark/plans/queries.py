@@ -80,7 +80,7 @@ class Cursors:
 
     def read(self, text: str, kind: str, scope: str) -> list:
         try:
-            raw = base64.urlsafe_b64decode(text + "=" * (-len(text) % 4))
+            raw = base64.b64decode(text + "=" * (-len(text) % 4), altchars=b"-_", validate=True)
         except ValueError:
             raise QueryRefused("Malformed") from None
         sign, body = raw[:32], raw[32:]
