@@ -1,10 +1,13 @@
 """Byte-level BPE by corpus-level merge replay.
 
-Each task takes its block of documents, splits the texts by the tokenizer's pattern and merges the
-*distinct* words of the block together: an inverted index from token pair to word positions is
-consulted in rank order, and a merge touches only the two neighbours of each position. Pairs that make the
-same token have the same rank and share an entry, since ties between them go from left to right. No shuffle
-is needed, and a word costs its merges once a block, however often it occurs.
+Texts are split by the tokenizer's pattern, and the *distinct* words are merged together: an inverted index from
+token pair to word positions is consulted in rank order, and a merge touches only the two neighbours of each
+position. Pairs that make the same token have the same rank and share an entry, since ties between them go from
+left to right.
+
+The corpus's words are counted first, whole and in parallel. Those that are frequent, ``HEAD_WORDS`` at most, are
+dealt to tasks, merged once for the whole corpus, and broadcast with their ids; the rest, most of which stand in
+few documents, are merged where they are met, once a block. What is broadcast only saves work: ids don't depend on it.
 """
 
 from __future__ import annotations
@@ -13,17 +16,18 @@ import base64
 import gc
 import hashlib
 import heapq
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import map_rows
+from tidemark.llm.common import arrow_schema, map_rows, runs, table
 
 #: Words kept between the batches of a worker. Only memory depends on it: what is forgotten is merged anew.
 CACHE_WORDS = 1_000_000
@@ -31,6 +35,8 @@ CACHE_WORDS = 1_000_000
 RUN_WORDS, SPAN = 10_000, 1 << 24
 #: Characters whose words are held at a time (a longer text goes alone), and pairs whose ranks are remembered.
 RUN_CHARS, CACHE_PAIRS = 1_000_000, 400_000
+#: Words that are merged once for the whole corpus at most, the bytes of the longest, and how many a task counts before it passes them on.
+HEAD_WORDS, HEAD_BYTES, COUNTED_WORDS = 100_000, 64, 200_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -145,6 +151,14 @@ class BlockCodec:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.replay, self.split = MergeReplay(ranks), regex.compile(pattern).findall
         self.known: dict = {}
+        self.head: dict = {}
+
+    def share(self, head: dict[str, tuple[int, ...]]) -> BlockCodec:
+        """Start from words that the corpus has merged already."""
+        if head is not self.head:
+            self.head = head
+            self.known = {w: self.of(ids) for w, ids in head.items()}
+        return self
 
     def coded(self, texts: list[str | None]) -> Iterator[list]:
         """What ``of`` makes of each word of each text, text by text; what is held at a time has a bound."""
@@ -160,7 +174,7 @@ class BlockCodec:
     def _coded(self, texts: list[str]) -> Iterator[list]:
         found = [self.split(t) for t in texts]
         if len(self.known) > CACHE_WORDS:
-            self.known.clear()
+            self.known = {w: self.of(ids) for w, ids in self.head.items()}
         get = self.known.__getitem__
         new = list({w for words in found for w in words if w not in self.known})
         merged = self.replay.encode([w.encode() for w in new])
@@ -193,15 +207,64 @@ def _codec(kind: type, path: str, pattern: str) -> BlockCodec:
     return kind(load_ranks(path), pattern)
 
 
+def counted(df: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
+    """word, n: how often each distinct word stands in all texts; summed in tasks before it is shuffled."""
+
+    def run(batches):
+        split, sums = regex.compile(pattern).findall, Counter()
+
+        def told():
+            out = pa.RecordBatch.from_pydict({"word": list(sums), "n": list(sums.values())}, schema=schema)
+            sums.clear()
+            return out
+
+        for batch in (run for whole in batches for run in runs(whole)):
+            for own in batch.column(0).to_pylist():
+                if own:
+                    sums.update(w for w in split(own) if len(w) <= HEAD_BYTES)
+                if len(sums) > COUNTED_WORDS:
+                    yield told()
+        yield told()
+
+    schema = arrow_schema("word string, n long")
+    return df.select(text).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def head(df: DataFrame, path: str, pattern: str, text: str = "text") -> dict[str, tuple[int, ...]]:
+    """The frequent words with their ids: all that stand at least so often that there are no more than ``HEAD_WORDS`` of them.
+
+    How often that is comes from a histogram of the counts by their logarithm, a few hundred rows, so the bound holds
+    whatever the corpus. Words longer than ``HEAD_BYTES`` are left to the tasks that meet them.
+    """
+    words = counted(df, path, pattern, text).where("n > 1").withColumn("step", F.floor(F.log2("n") * 8).cast("int")).persist()
+    least, many = None, 0
+    for r in words.groupBy("step").count().orderBy(F.desc("step")).collect():  # a row for each step
+        if many + r["count"] > HEAD_WORDS:
+            break
+        least, many = r["step"], many + r["count"]
+    found: dict[str, tuple[int, ...]] = {}
+    if least is not None:
+
+        def make():
+            replay = _codec(BlockCodec, path, pattern).replay
+            return lambda own: (own, replay.encode([w.encode() for w in own]))
+
+        merged = map_rows(words.where(F.col("step") >= least), ["word"], "word string, ids array<int>", make)
+        found = {r["word"]: tuple(r["ids"]) for r in merged.toLocalIterator()}  # HEAD_WORDS rows at most
+    words.unpersist()
+    return found
+
+
 def encode(df: DataFrame, path: str, pattern: str, text: str = "text", id_column: str = "doc_id") -> DataFrame:
     """``id_column``, ``ids`` array<int>, ``n_tokens`` long of each whole text.
 
     Null texts count as empty (no ids). Other columns are not read, so their names can't clash.
     Repeated rows are encoded again; a table without rows gives none. ``path`` must exist on the executors.
     """
+    shared = df.sparkSession.sparkContext.broadcast(head(df, path, pattern, text))
 
     def make():
-        codec = _codec(BlockCodec, path, pattern)
+        codec = _codec(BlockCodec, path, pattern).share(shared.value)
 
         def batch(keys, texts):
             ids = [np.fromiter(chain.from_iterable(words), dtype=np.int32) for words in codec.coded(texts)]
@@ -239,9 +302,10 @@ def round_trip(df: DataFrame, path: str, pattern: str) -> DataFrame:
 
 def digests(df: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of each whole text (null: empty); a row for each row, none for none."""
+    shared = df.sparkSession.sparkContext.broadcast(head(df, path, pattern))
 
     def make():
-        codec = _codec(DigestCodec, path, pattern)
+        codec = _codec(DigestCodec, path, pattern).share(shared.value)
 
         def batch(keys, texts):
             counts, coded, decoded = [], [], []
@@ -265,6 +329,4 @@ def vocabulary() -> tuple[str, str]:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tidemark.llm.common import table
-
     return digests(table(spark, sf_dir, "documents"), *vocabulary())
