@@ -1,9 +1,9 @@
 """Personal data: exact base patterns, and a character-level BiLSTM with CRF transitions on top.
 
 The tagger is trained in numpy, in one task, on windows around labelled spans of a bounded sample. Long
-texts are covered by overlapping windows; where windows disagree, a character takes the tag of the window
-in whose middle it lies, and spans are read off the whole reconciled tag sequence. All windows are run:
-a disguised address (``anna (at) mail.example.com``) need hold neither a digit nor an ``@``.
+texts are covered by windows of ``span`` characters that overlap by ``lap``; where two disagree, a character
+takes the tag of the window whose edge is farther away, and spans are read off the whole reconciled tag
+sequence. All windows are run: a disguised address (``anna (at) mail.example.com``) need hold neither a digit nor an ``@``.
 """
 
 from __future__ import annotations
@@ -82,6 +82,8 @@ def written(spans: list[Span]) -> str:
 TAGS = 1 + 2 * len(KINDS)  # outside, then begin and inside of each kind
 CHARS = 131  # 0: padding; 1 to 128: ASCII; 129: other letters; 130: the rest
 FORBIDDEN = -1e4
+#: Windows that take their steps together, and the padding that a text ends with, as in the windows that were learned from.
+RUN_WINDOWS, END = 512, np.zeros(16, dtype=np.uint8)
 TELLS = np.array([i > 0 and TELL.match(chr(i - 1)) is not None for i in range(CHARS)])
 
 
@@ -89,27 +91,32 @@ TELLS = np.array([i > 0 and TELL.match(chr(i - 1)) is not None for i in range(CH
 class Settings:
     """``sample_docs``: so many documents at most are searched for labelled spans, ``sample_windows`` windows at most are learned from.
 
-    Of windows without a label, a digit and an ``@``, which are nearly all, one in ``plain`` may be learned from.
+    Learning takes windows of ``window`` characters, ``stride`` apart; texts are decoded in windows of ``span`` that
+    overlap by ``lap``. Of windows without a label, a digit and an ``@``, which are nearly all, one in ``plain`` may
+    be learned from.
     """
 
     hidden: int = 16
     window: int = 96
     stride: int = 48
-    epochs: int = 16
+    span: int = 256
+    lap: int = 32
+    epochs: int = 12
     rate: float = 0.02
     batch: int = 32
     sample_docs: int = 20_000
-    sample_windows: int = 1600
-    plain: int = 256
+    sample_windows: int = 2400
+    plain: int = 64
 
 
 def codes(text: str) -> np.ndarray:
+    """A number below CHARS for each character."""
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    out = (points + 1).astype(np.int64)
-    other = points > 127
-    if other.any():
+    out = np.minimum(points + 1, 130).astype(np.uint8)
+    other = np.flatnonzero(points > 127)
+    if len(other):
         kinds, at = np.unique(points[other], return_inverse=True)
-        out[other] = np.array([129 if chr(c).isalpha() else 130 for c in kinds])[at]
+        out[other] = np.array([129 if chr(c).isalpha() else 130 for c in kinds], dtype=np.uint8)[at]
     return out
 
 
@@ -187,72 +194,96 @@ class Tagger:
         return both @ self.p["o"] + self.p["ob"], both, kf, kb
 
     def viterbi(self, x: np.ndarray) -> np.ndarray:
-        e = self.scores(x)[0]
+        return self._paths(self.scores(x)[0], np.full(len(x), x.shape[1]))
+
+    def _paths(self, e: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The best tags of each row's first ``sizes`` characters, given the scores of tags; outside behind them."""
         length, n, _ = e.shape
         move = self.p["t"] + self.bar
         best, back = e[0] + self.p["s"], np.empty((length, n, TAGS), np.int8)
         for t in range(1, length):
             all_ = best[:, :, None] + move
-            back[t] = all_.argmax(axis=1)
-            best = all_.max(axis=1) + e[t]
+            on = (t < sizes)[:, None]
+            back[t] = np.where(on, all_.argmax(axis=1), np.arange(TAGS))
+            best = np.where(on, all_.max(axis=1) + e[t], best)
         out = np.empty((n, length), np.int64)
         out[:, -1] = best.argmax(axis=1)
         for t in range(length - 1, 0, -1):
             out[:, t - 1] = back[t][np.arange(n), out[:, t]]
+        out[np.arange(length) >= sizes[:, None]] = 0
         return out
 
-    def _states(self, x: np.ndarray, d: str, both: np.ndarray) -> None:
-        """The states that _run gives but for rounding, written into ``both``; tanh(v) is taken as 2 / (1 + exp(-2v)) - 1, which numpy does faster."""
+    def _states(self, x: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Twice the states that _run gives for each row's own characters alone, both ways at once; rows come in falling order of size.
+
+        A sigmoid is (1 + tanh(v / 2)) / 2: the inner half goes into the weights, the outer ones of two gates into the cell,
+        and that of the last into what is made of the states. Rows that have ended take no more steps.
+        """
         n, length = x.shape
         h = self.h
-        scale = -np.concatenate([np.ones(3 * h), np.full(h, 2.0)]).astype(np.float32)
-        table, u = (self.p[f"x{d}"] + self.p[f"c{d}"]) * scale, self.p[f"u{d}"] * scale
-        state, cell = np.zeros((n, h), np.float32), np.zeros((n, h), np.float32)
-        a, b, c, columns = np.empty((n, 4 * h), np.float32), np.empty((n, 4 * h), np.float32), np.empty((n, h), np.float32), np.ascontiguousarray(x.T, dtype=np.intp)
-        with np.errstate(over="ignore"):
-            for t in range(length) if d == "f" else range(length - 1, -1, -1):
-                np.take(table, columns[t], axis=0, out=a, mode="clip")
-                np.matmul(state, u, out=b)
-                a += b
-                np.exp(a, out=a)
-                a += 1.0
-                np.reciprocal(a, out=a)
-                np.multiply(a[:, 3 * h :], 2.0, out=c)
-                c -= 1.0
-                c *= a[:, h : 2 * h]
-                cell *= a[:, :h]
-                cell += c
-                np.multiply(cell, -2.0, out=state)
-                np.exp(state, out=state)
-                state += 1.0
-                np.divide(2.0, state, out=state)
-                state -= 1.0
-                state *= a[:, 2 * h : 3 * h]
-                both[t] = state
-
-    def decode(self, x: np.ndarray) -> np.ndarray:
-        """What viterbi gives, all windows' tags. Windows whose all-outside path provably outweighs every other skip the search for the best path."""
+        half = np.repeat(np.array([0.5, 0.5, 0.5, 1.0], np.float32), h)
+        table = np.stack([((self.p[f"x{d}"] + self.p[f"c{d}"]) * half).reshape(CHARS, 4, h) for d in "fb"]).transpose(2, 0, 1, 3).copy()
+        u = np.stack([(self.p[f"u{d}"] * (half / 2)).reshape(h, 4, h) for d in "fb"]).transpose(2, 0, 1, 3).copy()
+        at = np.arange(length)[:, None]
+        columns = np.stack([x.T, np.take_along_axis(x.T, np.maximum(sizes - 1 - at, 0), axis=0)], axis=1).astype(np.intp)
+        still = len(sizes) - np.searchsorted(sizes[::-1], np.arange(length), side="right")  # rows with more than t characters
+        whole = int(still[-1])
+        out = np.zeros((length, n, 2 * h), np.float32)
+        state, cell, c = np.zeros((2, n, h), np.float32), np.zeros((2, n, h), np.float32), np.empty((2, n, h), np.float32)
+        a, b = np.empty((4, 2, n, h), np.float32), np.empty((4, 2, n, h), np.float32)
+        for t in range(length):
+            k = int(still[t])
+            if not k:
+                break
+            g, add, s, m, own = a[:, :, :k], b[:, :, :k], state[:, :k], cell[:, :k], c[:, :k]
+            for gate in range(4):
+                for d in range(2):
+                    np.take(table[gate, d], columns[t, d, :k], axis=0, out=a[gate, d, :k], mode="clip")
+            np.matmul(s, u, out=add)
+            g += add
+            np.tanh(g, out=g)
+            g[:3] += 1.0
+            np.multiply(g[3], g[1], out=own)
+            m *= g[0]
+            m += own
+            m *= 0.5
+            np.tanh(m, out=s)
+            s *= g[2]
+            out[t, :k, :h] = s[0]
+            out[length - 1 - t, :whole, h:] = s[1, :whole]
+            if k > whole:
+                out[sizes[whole:k] - 1 - t, np.arange(whole, k), h:] = s[1, whole:]
+        return out
+
+    def decode(self, x: np.ndarray, sizes: np.ndarray | None = None) -> np.ndarray:
+        """The best tags of all windows. Windows whose all-outside path provably outweighs every other skip the search for the best path.
+
+        ``sizes`` (in falling order) says how many characters of each row are text; all, if not given.
+        """
         n, length = x.shape
-        both = np.empty((length, n, 2 * self.h), np.float32)
-        self._states(x, "f", both[:, :, : self.h])
-        self._states(x, "b", both[:, :, self.h :])
-        o, ob = self.p["o"], self.p["ob"]
+        sizes = np.full(n, length) if sizes is None else sizes
+        both = self._states(x, sizes)
+        o, ob = self.p["o"] / 2, self.p["ob"]
         # how much any other tag gains on outside, and the most that the moves into, within and out of other tags gain
         gain = ((o[:, 1:] - o[:, :1]).T @ both.reshape(-1, 2 * self.h).T + (ob[1:] - ob[:1])[:, None]).reshape(TAGS - 1, length, n)
         move = self.p["t"] + self.bar
         move = move - move[0, 0]
-        enter, start = move[0, 1:, None, None], (self.p["s"][1:] - self.p["s"][0])[:, None]
-        first, rest = (gain + enter).max(axis=0), gain.max(axis=0) + move[1:, 1:].max()
+        enter, start = move[0, 1:], (self.p["s"][1:] - self.p["s"][0])[:, None]
+        opens = np.flatnonzero(enter > FORBIDDEN / 2)  # tags that may follow outside
+        rest = gain.max(axis=0) + move[1:, 1:].max()
+        first = gain[opens[0]] + enter[opens[0]]
+        for k in opens[1:]:
+            np.maximum(first, gain[k] + enter[k], out=first)
         first[0] = (gain[:, 0] + start).max(axis=0)
         leave = max(0.0, float(move[1:, 0].max()))
         run, most = first[0], first[0].copy()
         for t in range(1, length):
-            run = np.maximum(first[t], run + rest[t])
+            run = np.where(t < sizes, np.maximum(first[t], run + rest[t]), FORBIDDEN)
             np.maximum(most, run, out=most)
         out = np.zeros((n, length), np.int8)
         open_ = np.flatnonzero(~(most + leave < -0.01))
         if len(open_):
-            out[open_] = self.viterbi(x[open_])
+            out[open_] = self._paths(both[:, open_] @ o + ob, sizes[open_])
         return out
 
     def learn(self, x: np.ndarray, y: np.ndarray, rate: float) -> float:
@@ -316,56 +347,57 @@ class Tagger:
         return self
 
 
-def windows(n: int, s: Settings) -> range:
+def windows(n: int, width: int, stride: int) -> range:
     """Starts of the overlapping windows that cover n characters."""
-    return range(0, max(1, n - s.window + s.stride), s.stride)
+    return range(0, max(1, n - width + stride), stride)
 
 
-def cut_windows(x: np.ndarray, s: Settings) -> np.ndarray:
+def cut_windows(x: np.ndarray, width: int, stride: int) -> np.ndarray:
     """The windows over x, one a row, the last padded with zeros."""
-    starts = windows(len(x), s)
-    padded = np.zeros(starts[-1] + s.window, dtype=x.dtype)
+    starts = windows(len(x), width, stride)
+    padded = np.zeros(starts[-1] + width, dtype=x.dtype)
     padded[: len(x)] = x
-    return np.lib.stride_tricks.sliding_window_view(padded, s.window)[:: s.stride]
+    return np.lib.stride_tricks.sliding_window_view(padded, width)[::stride]
+
+
+def reconciled(decoded: np.ndarray, n: int, stride: int) -> np.ndarray:
+    """One tag for each of n characters: of the windows over it, the one whose edge is farther away has its say, the earlier one in a tie.
+
+    Nothing lies before or behind the text, so its ends are no edges.
+    """
+    width = decoded.shape[1]
+    at = np.arange(n, dtype=np.int64)
+    last = np.minimum(at // stride, len(decoded) - 1)  # the window that began last
+    before = np.maximum(last - 1, 0)
+    inside = (before < last) & (at - before * stride < width)
+    sooner = inside & (before * stride + width - 1 - at >= at - last * stride)
+    use = np.where(sooner, before, last)
+    return decoded[use, at - use * stride]
 
 
 def tag(texts: list[str], model: Tagger, s: Settings) -> list[list[Span]]:
-    """Spans of the tagger in whole texts."""
-    owner, starts, coded, pieces = [], [], [], []
-    for i, text in enumerate(texts):
-        coded.append(codes(text).astype(np.uint8))
-        if text:
-            at = windows(len(text), s)
-            owner += [i] * len(at)
-            starts += at
-            pieces.append(cut_windows(coded[i], s))
+    """Spans of the tagger in whole texts. A character lies in at most two windows, so ``lap`` is at most half of ``span``."""
+    stride = s.span - s.lap
+    pieces = [cut_windows(np.append(codes(t), END), s.span, stride) if t else np.zeros((0, s.span), np.uint8) for t in texts]
     found: list[list[Span]] = [[] for _ in texts]
-    if not pieces:
-        return found
-    stacked = np.concatenate(pieces)
-    decoded = np.concatenate([model.decode(stacked[k : k + 512]) for k in range(0, len(stacked), 512)])
-    marked = {owner[k] for k in np.flatnonzero(decoded.any(axis=1))}
-    depth = np.minimum(np.arange(s.window), np.arange(s.window)[::-1])
-    k = 0
-    while k < len(owner):
-        i, n = owner[k], len(coded[owner[k]])
-        if i not in marked:
-            k += len(windows(n, s))
-            continue
-        tags, deepest = np.zeros(n, dtype=np.int64), np.full(n, -1)
-        while k < len(owner) and owner[k] == i:
-            a = starts[k]
-            m = min(s.window, n - a)
-            own = depth[:m].copy()
-            if a == 0:  # nothing lies before or behind the text, so its ends are no worse than a window's middle
-                own[: m // 2] = s.window
-            if a + m == n:
-                own[m // 2 :] = s.window
-            wins = own > deepest[a : a + m]
-            tags[a : a + m][wins] = decoded[k][:m][wins]
-            deepest[a : a + m][wins] = own[wins]
-            k += 1
-        found[i] = spans_of(tags)
+    counts = [len(p) for p in pieces]
+    ends = np.cumsum([0, *counts])
+    stacked = np.concatenate([np.zeros((0, s.span), np.uint8), *pieces])
+    del pieces
+    sizes = np.full(len(stacked), s.span)
+    for end, count, text in zip(ends[1:], counts, texts, strict=True):
+        if count:
+            sizes[end - 1] = len(text) + len(END) - (count - 1) * stride
+    order = np.argsort(-sizes, kind="stable")
+    decoded = np.zeros(stacked.shape, np.int8)
+    for k in range(0, len(order), RUN_WINDOWS):
+        own = order[k : k + RUN_WINDOWS]
+        longest = int(sizes[own[0]])
+        decoded[own, :longest] = model.decode(stacked[own, :longest], sizes[own])
+    marked = decoded.any(axis=1)
+    for i, (a, b) in enumerate(zip(ends, ends[1:], strict=False)):
+        if marked[a:b].any():
+            found[i] = spans_of(reconciled(decoded[a:b], len(texts[i]) + len(END), stride)[: len(texts[i])])
     return found
 
 
@@ -417,8 +449,8 @@ def fit(docs: DataFrame, s: Settings | None = None) -> Tagger:
                 rng = np.random.default_rng(abs(hash(key)) % (1 << 32))
                 for copy, own in ((text, spans), disguised(text, spans, rng)) if spans else ((text, spans),):
                     x, y = codes(copy), tags_of(len(copy), own)
-                    told = cut_windows((y > 0) | TELLS[x], s).any(axis=1)
-                    for piece, telling in zip(np.stack([cut_windows(x, s), cut_windows(y, s)], axis=1), told, strict=True):
+                    told, codes_, tags = (cut_windows(v, s.window, s.stride) for v in ((y > 0) | TELLS[x], x.astype(np.int64), y))
+                    for piece, telling in zip(np.stack([codes_, tags], axis=1), told.any(axis=1), strict=True):
                         key = hashlib.md5(piece.tobytes()).digest()
                         if telling or int.from_bytes(key[-4:], "little") % s.plain == 0:
                             rows.append((piece[0], piece[1], key.hex()))
@@ -471,7 +503,7 @@ def find(docs: DataFrame, model: Tagger, s: Settings | None = None) -> DataFrame
 
 
 def redact(docs: DataFrame, model: Tagger, s: Settings | None = None, column: str = "text") -> DataFrame:
-    """The same rows and columns, every span of the text replaced by its kind in brackets; null texts stay null."""
+    """The same rows and columns, every span of the text replaced by its kind in brackets; null texts stay null, rows that repeat stay, no rows give none."""
     s = s or Settings()
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names, at = docs.columns, docs.columns.index(column)
