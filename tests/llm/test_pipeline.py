@@ -28,3 +28,13 @@ def test_stages_keep_clean_documents(spark):
         before, docs = after, out
     last = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
     assert {r.doc_id: r.text for r in last.collect()} == {r.doc_id: r.text for r in docs.collect()}
+
+
+def test_stages_take_odd_rows_and_none(spark):
+    odd = [(1, None, None, None, None), (2, "", "en", "s", 0), (2, "one two", "en", "s", 7), (2, "one two", "en", "s", 7), (None, "three four", None, "s", 10), (5, "one two", None, "s", 7)]
+    docs = spark.createDataFrame(odd, "doc_id long, text string, lang string, source string, n_chars long")
+    extra = docs.withColumns({"label": docs["doc_id"], "id": docs["doc_id"]})
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), SF).count() == 0
+        kept = stage(spark, extra, SF).collect()
+        assert len(kept) == (5 if name == "near_duplicates" else 6), name
