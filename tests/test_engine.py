@@ -323,6 +323,31 @@ def test_dead_letters_are_put_aside(spark, tmp_path):
     assert {(r.message_id, r.problem) for r in spark.read.parquet(dead).collect()} == {(r.message_id, r.problem) for r in told.where("problem IS NOT NULL").collect()}
 
 
+def test_handlers_get_the_rows_of_their_types(spark, tmp_path):
+    log = el.load(spark, SF).where("event_id < 200")
+    topic = reads.published(log).select("value")
+    topic.write.parquet(str(tmp_path / "topic"))
+    schema = spark.createDataFrame([], "id string, type string, subject string").schema
+    got, handlers = [], consumers.Handlers()
+
+    @handlers.on("view", "click")
+    def told(rows, number):
+        got.extend(rows.collect())
+
+    with pytest.raises(ValueError):
+        handlers.on("view")(told)
+    stream = consumers.from_topic(consumers.read_stream(spark, str(tmp_path / "topic"), topic.schema), schema).withColumnRenamed("type", "event_type_name")
+    consumers.deliver(stream, handlers, str(tmp_path / "check")).awaitTermination()
+    assert {r.id for r in got} == {r.message_id for r in log.where("event_type_name IN ('view', 'click')").collect()}
+    ticks = consumers.read_topic(spark, schema, "rate-micro-batch", rowsPerBatch=1)
+    assert ticks.isStreaming and ticks.columns == ["id", "type", "subject"]
+
+
+def test_rebuilt_models_are_held_against_a_replay(spark, tmp_path):
+    log = el.load(spark, SF)
+    assert sorted(projections.rebuild(log, str(tmp_path / "new")).collect()) == sorted(projections.counter(log).collect())
+
+
 # plans, sinks, datasets --------------------------------------------------------------------------------
 
 def test_pages_by_cursor_hold_every_row_once(spark):

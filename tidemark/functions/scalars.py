@@ -72,6 +72,24 @@ def topic_warns(name: Column) -> Column:
     return topic_valid(name) & (F.length(name) > TOPIC_WARNING)
 
 
+def domain_name(kind: Column) -> Column:
+    """The domain that a type is named for: its name without Aggregate, Projection or Processor at the end, in kebab-case; null where nothing valid is left."""
+    name = kebab(F.regexp_replace(kind, "(Aggregate|Projection|Processor)$", ""))
+    return F.when(name.rlike(SEGMENT), name)
+
+
+def query_type_name(kind: Column) -> Column:
+    name = kebab(F.regexp_replace(kind, "Query$", ""))
+    return F.when(name.rlike(SEGMENT), name)
+
+
+def resource_names(tenant: Column, domain: Column) -> dict[str, Column]:
+    """Names that follow from tenant and domain: state store, command endpoint and the topic of changed projections; null where either isn't valid."""
+    ok = tenant.rlike(SEGMENT) & domain.rlike(SEGMENT)
+    told = {"state_store": F.concat(domain, F.lit("-eventstore")), "command_endpoint": F.concat(domain, F.lit("-commands")), "changed_topic": F.concat(tenant, F.lit("."), domain, F.lit(".projection-changed"))}
+    return {k: F.when(ok, c) for k, c in told.items()}
+
+
 def checksum(value: Column, length: int = 11) -> Column:
     """First characters of the URL-safe base64 of the SHA-256."""
     return F.substring(F.translate(F.base64(F.unhex(F.sha2(value, 256))), "+/", "-_"), 1, length)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions import json_paths, scalars
+from tidemark.functions import json_paths, protection, scalars
 from tidemark.operators import commands, health, projections, readmodels, reads, rollups
 from tidemark.plans import queries as plans
 from tidemark.registry import query
@@ -269,6 +269,31 @@ def poison_rows(spark, d):
     return consumers.classify(el.load(spark, d).withColumn("payload", torn), ("click", "error", "purchase", "signup"), ("click", "error", "purchase")).select("message_id", "problem")
 
 
+@query("tenant_list", "SELECT tenant_id, count(DISTINCT domain) AS domains, count(DISTINCT aggregate_id) AS streams, count(*) AS events, max(ts) AS last_activity FROM ev GROUP BY 1")
+def tenant_list(spark, d):
+    return rollups.tenants(el.load(spark, d))
+
+
+@query("snapshot_policies", "SELECT tenant_id, domain, aggregate_id, CASE WHEN aggregate_id = 'user-7' THEN 25 WHEN tenant_id = 'tenant-1' THEN 10 ELSE 40 END AS interval FROM heads")
+def snapshot_policies(spark, d):
+    rows = [("tenant-1", "activity", "user-7", 25), ("tenant-1", "activity", None, 3), (None, "activity", None, 40), (None, "other", None, 7)]
+    policies = spark.createDataFrame(rows, "tenant_id string, domain string, aggregate_id string, interval int")
+    return projections.with_policies(reads.heads(el.load(spark, d)).select(*ID), policies)
+
+
+@query("published_events", "SELECT tenant_id || '.' || domain || '.events' AS topic, tenant_id || ':' || domain || ':' || aggregate_id AS key, message_id AS id, event_type_name AS type FROM ev")
+def published_events(spark, d):
+    return reads.published(el.load(spark, d)).select("topic", "key", F.get_json_object("value", "$.id").alias("id"), F.get_json_object("value", "$.type").alias("type"))
+
+
+@query("payload_protection", "SELECT message_id, CASE WHEN event_id % 3 > 0 THEN payload END AS payload FROM ev")
+def payload_protection(spark, d):
+    """Payloads come back by their key; those of another key, or changed on the way, don't."""
+    key = F.lit(b"0123456789abcdef")
+    own = F.when(F.col("event_id") % 3 == 0, F.lit(b"fedcba9876543210")).otherwise(key)
+    return el.load(spark, d).select("message_id", protection.unprotected(protection.protected(F.col("payload"), key), own).alias("payload"))
+
+
 # health ------------------------------------------------------------------------------------------------
 
 @query("mean_uptime", "SELECT round(avg(u), 6) AS mean_uptime, count(*) AS components FROM (SELECT component, round(avg(CASE WHEN status = 'Healthy' THEN 1.0 ELSE 0.0 END) * 100, 6) AS u FROM hs GROUP BY 1)")
@@ -306,6 +331,15 @@ def message_types_made(spark, d):
     return rows.withColumn("message_type", scalars.message_type_of(F.lit("activity"), F.col("name"), F.col("version")))
 
 
+@query("naming", "SELECT DISTINCT kind, lower(left(event_type_name, 1)) || substr(event_type_name, 2) || '-done' AS domain_name, CASE WHEN tenant_id <> 'tenant-2' THEN lower(event_type_name) || '-done-eventstore' END AS state_store, CASE WHEN tenant_id <> 'tenant-2' THEN lower(event_type_name) || '-done-commands' END AS command_endpoint, CASE WHEN tenant_id <> 'tenant-2' THEN tenant_id || '.' || lower(event_type_name) || '-done.projection-changed' END AS changed_topic FROM (SELECT *, upper(left(event_type_name, 1)) || substr(event_type_name, 2) || 'Done' || ['', 'Aggregate', 'Projection', 'Processor'][event_id % 4 + 1] AS kind FROM ev)")
+def naming(spark, d):
+    own, ends = F.col("event_type_name"), F.array(*map(F.lit, ("", "Aggregate", "Projection", "Processor")))
+    kind = F.concat(F.upper(F.substring(own, 1, 1)), F.substring(own, 2, 100), F.lit("Done"), F.element_at(ends, (F.col("event_id") % 4 + 1).cast("int")))
+    tenant = F.when(F.col("tenant_id") == "tenant-2", "Tenant 2").otherwise(F.col("tenant_id"))
+    rows = el.load(spark, d).select(kind.alias("kind"), tenant.alias("tenant")).distinct().withColumn("domain_name", scalars.domain_name(F.col("kind")))
+    return rows.select("kind", "domain_name", *[c.alias(n) for n, c in scalars.resource_names(F.col("tenant"), F.col("domain_name")).items()])
+
+
 @query("etags", "SELECT tag, CASE WHEN event_id % 4 < 2 THEN kind END AS projection_type, CASE WHEN event_id % 4 < 2 THEN message_id END AS version FROM (SELECT *, CASE event_id % 4 WHEN 3 THEN '.' || message_id WHEN 1 THEN rtrim(replace(replace(to_base64(encode(kind)), '+', '-'), '/', '_'), '=') || '.' || message_id ELSE rtrim(replace(replace(to_base64(encode(kind)), '+', '-'), '/', '_'), '=') || '.' || message_id END AS tag FROM (SELECT *, event_type_name || CASE event_id % 4 WHEN 2 THEN ':x' ELSE '/' || aggregate_id || '?ü' END AS kind FROM ev))")
 def etags(spark, d):
     n = F.col("event_id") % 4

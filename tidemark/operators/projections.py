@@ -26,6 +26,15 @@ def rebuild_equals_replay(log: DataFrame, served: DataFrame) -> DataFrame:
     return fresh.join(served, list(ID), "full_outer").where(~F.col("replayed").eqNullSafe(F.col("count"))).select(*ID, "replayed", "count")
 
 
+def rebuild(log: DataFrame, path: str) -> DataFrame:
+    """The counter read model built anew beside the served one, in a folder of its own, read back and held against a replay before it is returned; a model that differs is refused."""
+    counter(log).write.mode("overwrite").parquet(path)
+    staged = log.sparkSession.read.parquet(path)
+    if not rebuild_equals_replay(log, staged).isEmpty():
+        raise ValueError(f"the rebuilt model at {path} isn't what a replay gives")
+    return staged
+
+
 def checkpoints(old: DataFrame, new: DataFrame) -> DataFrame:
     """Delivered sequences by (projection, stream): never moved back."""
     keys = ["projection", *ID]
@@ -47,6 +56,18 @@ def snapshot_due(heads: DataFrame, snapshots: DataFrame, interval: Column) -> Da
     return joined.withColumn("interval", F.greatest(interval, F.lit(10))).withColumn("behind", F.col("current_sequence") - F.coalesce("last_snapshot", F.lit(0))).where("behind >= interval").select(*ID, "current_sequence", "behind", "interval")
 
 
+def with_policies(streams: DataFrame, policies: DataFrame) -> DataFrame:
+    """Streams with the interval of the closest snapshot policy (tenant_id, domain, aggregate_id, interval; null parts hold for all): the stream's, the tenant's domain's, the domain's, or 100; 10 at least.
+
+    Three equi-joins on what a policy names; policies have one row for each name.
+    """
+    own = policies.where("aggregate_id IS NOT NULL").select(*ID, F.col("interval").alias("__own"))
+    pair = policies.where("aggregate_id IS NULL AND tenant_id IS NOT NULL").select("tenant_id", "domain", F.col("interval").alias("__pair"))
+    domain = policies.where("aggregate_id IS NULL AND tenant_id IS NULL").select("domain", F.col("interval").alias("__domain"))
+    found = streams.join(own, list(ID), "left").join(pair, ["tenant_id", "domain"], "left").join(domain, "domain", "left")
+    return found.select(*streams.columns, F.greatest(snapshot_interval(F.col("__own"), F.col("__pair"), F.col("__domain")), F.lit(10)).alias("interval"))
+
+
 def snapshot_interval(own: Column, pair: Column, domain: Column) -> Column:
     """The stream's own policy, then that of tenant and domain, then of the domain, then 100."""
     return F.coalesce(own, pair, domain, F.lit(100))

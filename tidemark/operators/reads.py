@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions import scalars
 from tidemark.sources.event_log import ID, write_log
 from tidemark.sources.scratch import held
 
@@ -116,16 +117,26 @@ def append_batch(log: DataFrame, rows: DataFrame, at: Column, path: str | None =
     return out
 
 
-def export(stream: DataFrame, most: int = 50_000, cloud_events: bool = False) -> DataFrame:
-    """JSON lines of the newest ``most`` events of a stream: plain, or CloudEvents 1.0."""
-    top = stream.agg(F.max("sequence_number").alias("head"))
-    found = stream.crossJoin(F.broadcast(top)).where(F.col("sequence_number") > F.col("head") - most)
+def export_lines(log: DataFrame, cloud_events: bool) -> DataFrame:
+    """The log with a ``line`` of JSON for each event: plain, or CloudEvents 1.0."""
     if not cloud_events:
-        return found.select("sequence_number", F.to_json(F.struct(*[c for c in stream.columns])).alias("line"))
+        return log.withColumn("line", F.to_json(F.struct(*log.columns)))
     subject = F.concat(F.concat_ws("/", *ID), F.lit("#"), F.col("sequence_number"))
     source = F.concat(F.lit("tidemark/"), F.col("tenant_id"), F.lit("/"), F.col("domain"))
     own = F.struct(F.lit("1.0").alias("specversion"), F.col("message_id").alias("id"), source.alias("source"), F.col("event_type_name").alias("type"), subject.alias("subject"), F.col("ts").alias("time"), F.lit("application/json").alias("datacontenttype"), F.col("payload").alias("data"))
-    return found.select("sequence_number", F.to_json(own).alias("line"))
+    return log.withColumn("line", F.to_json(own))
+
+
+def export(stream: DataFrame, most: int = 50_000, cloud_events: bool = False) -> DataFrame:
+    """JSON lines of the newest ``most`` events of a stream: plain, or CloudEvents 1.0."""
+    top = stream.agg(F.max("sequence_number").alias("head"))
+    found = stream.crossJoin(F.broadcast(top)).where(F.col("sequence_number") > F.col("head") - most).drop("head")
+    return export_lines(found, cloud_events).select("sequence_number", "line")
+
+
+def published(log: DataFrame) -> DataFrame:
+    """Events as CloudEvents by topic: topic, key (the stream), value; what a topic sink such as Kafka's takes."""
+    return export_lines(log, True).select(scalars.topic(F.col("tenant_id"), F.col("domain")).alias("topic"), F.concat_ws(":", *ID).alias("key"), F.col("line").alias("value"))
 
 
 def snapshot_tail(log: DataFrame, snapshots: DataFrame) -> DataFrame:

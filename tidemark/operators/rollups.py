@@ -20,6 +20,12 @@ def stream_summary(log: DataFrame) -> DataFrame:
     return log.groupBy(*ID).agg(F.count("*").alias("event_count"), F.max("sequence_number").alias("last_sequence"), F.max("ts").alias("last_activity"))
 
 
+def tenants(log: DataFrame) -> DataFrame:
+    """Every tenant with its domains, streams, events and last activity."""
+    streams = log.groupBy(*ID).agg(F.count("*").alias("n"), F.max("ts").alias("last"))
+    return streams.groupBy("tenant_id").agg(F.countDistinct("domain").alias("domains"), F.count("*").alias("streams"), F.sum("n").alias("events"), F.max("last").alias("last_activity"))
+
+
 def storage_scopes(log: DataFrame) -> DataFrame:
     """Events and streams of each tenant and of all (tenant_id 'all'), in one pass by grouping sets over stream counts."""
     streams = log.groupBy(*ID).agg(F.count("*").alias("n"))

@@ -33,6 +33,7 @@ OPERATORS: dict[str, Callable[[Column, object], Column]] = {
     "in": lambda c, v: c.isin(*v),
     "contains": lambda c, v: F.contains(F.lower(c), F.lit(str(v).lower())),
     "startswith": lambda c, v: F.startswith(F.lower(c), F.lit(str(v).lower())),
+    "any": lambda c, v: F.arrays_overlap(c, F.array(*map(F.lit, v))),
     "isnull": lambda c, v: c.isNull() if v else c.isNotNull(),
 }
 

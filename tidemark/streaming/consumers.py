@@ -19,6 +19,16 @@ def read_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_
     return (reader.option("maxFilesPerTrigger", files_per_trigger) if files_per_trigger else reader).parquet(path)
 
 
+def read_topic(spark: SparkSession, schema: T.StructType, form: str = "kafka", **options) -> DataFrame:
+    """Events from a topic in any streaming format that Spark has a connector for, their JSON ``value`` read by a schema."""
+    raw = spark.readStream.format(form).options(**options).load()
+    return from_topic(raw, schema)
+
+
+def from_topic(raw: DataFrame, schema: T.StructType) -> DataFrame:
+    return raw.select(F.from_json(F.col("value").cast("string"), schema).alias("event")).select("event.*")
+
+
 def once(stream: DataFrame, delay: str = "1 hour") -> DataFrame:
     """Each message once, however often it is delivered within ``delay`` of event time."""
     return stream.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", delay).dropDuplicatesWithinWatermark(["message_id"]).drop("at")
@@ -129,6 +139,32 @@ def deliver_or_bury(stream: DataFrame, known: tuple[str, ...], handle, dead: str
     return deliver(stream, batch, checkpoint, every)
 
 
+class Handlers:
+    """Event handlers by type: each gets the rows of its type in a micro-batch, one call a batch."""
+
+    def __init__(self):
+        self.own: dict[str, list] = {}
+
+    def on(self, *kinds: str):
+        def add(handler):
+            for kind in kinds:
+                if handler in self.own.setdefault(kind, []):
+                    raise ValueError(f"registered twice for {kind}")
+                self.own[kind].append(handler)
+            return handler
+
+        return add
+
+    def __call__(self, batch: DataFrame, number: int) -> None:
+        rows = batch.persist()
+        try:
+            for kind, handlers in self.own.items():
+                for handler in handlers:
+                    handler(rows.where(F.col("event_type_name") == kind), number)
+        finally:
+            rows.unpersist()
+
+
 def position_watermark(log: DataFrame) -> DataFrame:
     """The highest global position by tenant, if it is positive: what a cursor carries to say up to where it has read."""
     return log.groupBy("tenant_id").agg(F.max("global_position").alias("watermark")).where("watermark > 0")
