@@ -94,15 +94,15 @@ def test_prefix_fingerprint_is_the_plain_fold(spark):
             delta = ts - datetime.datetime(1, 1, 1)
             clock = ((delta.days * 86400 + delta.seconds) * 1_000_000 + delta.microseconds) * 10
             told = struct.pack("<q", n) + part(message) + part(kind) + part(payload) + part(form) + struct.pack("<q", clock) + part(correlation) + part(user)
-            event = hashlib.sha256(b"hexalith.projection.delivery.event.v1" + told).digest()
-            prior = state.get(a) or hashlib.sha256(b"hexalith.projection.delivery.prefix.v1" + part(t) + part(d) + part(a) + part("counter")).digest()
-            state[a] = hashlib.sha256(b"hexalith.projection.delivery.step.v1" + prior + event).digest()
+            event = hashlib.sha256(b"own.space.event.v1" + told).digest()
+            prior = state.get(a) or hashlib.sha256(b"own.space.prefix.v1" + part(t) + part(d) + part(a) + part("counter")).digest()
+            state[a] = hashlib.sha256(b"own.space.step.v1" + prior + event).digest()
         return {a: "v1:" + base64.urlsafe_b64encode(x).decode().rstrip("=") for a, x in state.items()}
 
     def ours(rows, keep=columns, zoned=False):
         log = spark.createDataFrame(rows, schema).select(*keep)
         log = log.withColumn("ts", log["ts"].cast("timestamp")) if zoned else log
-        return {r.aggregate_id: r.fingerprint for r in projections.prefix_fingerprints(log, "counter").collect()}
+        return {r.aggregate_id: r.fingerprint for r in projections.prefix_fingerprints(log, "counter", "own.space").collect()}
 
     want = fold(rows)
     assert ours(rows) == want == ours(rows, zoned=True)

@@ -474,13 +474,12 @@ def _le(x: str, digits: int) -> str:
     return f"unhex(array_to_string(list_reverse(regexp_extract_all(lpad(to_hex({x}), {digits}, '0'), '..')), ''))"
 
 
-def _label(x: bytes) -> str:
-    return f"unhex('{x.hex()}')"
+EVENT, PREFIX, STEP = (f"unhex('{x.hex()}')" for x in projections.labels(projections.NAMESPACE))
 
 
-@query("prefix_fingerprint", f""", told AS (SELECT tenant_id, domain, aggregate_id, sequence_number, unhex(sha256({_label(projections.EVENT)} || {_le('sequence_number', 16)} || {_part('message_id')} || {_part('event_type_name')} || {_part('payload')} || {_part('CAST(NULL AS VARCHAR)')} || {_le('epoch_us(ts) * 10 + 621355968000000000', 16)} || {_part('correlation_id')} || {_part('CAST(user_id AS VARCHAR)')})) AS event FROM ev),
-chain AS (SELECT tenant_id, domain, aggregate_id, CAST(0 AS BIGINT) AS sequence_number, unhex(sha256({_label(projections.PREFIX)} || {_part('tenant_id')} || {_part('domain')} || {_part('aggregate_id')} || {_part("'counter'")})) AS state FROM heads
-  UNION ALL SELECT c.tenant_id, c.domain, c.aggregate_id, t.sequence_number, unhex(sha256({_label(projections.STEP)} || c.state || t.event)) FROM chain c JOIN told t ON t.aggregate_id = c.aggregate_id AND t.sequence_number = c.sequence_number + 1)
+@query("prefix_fingerprint", f""", told AS (SELECT tenant_id, domain, aggregate_id, sequence_number, unhex(sha256({EVENT} || {_le('sequence_number', 16)} || {_part('message_id')} || {_part('event_type_name')} || {_part('payload')} || {_part('CAST(NULL AS VARCHAR)')} || {_le('epoch_us(ts) * 10 + 621355968000000000', 16)} || {_part('correlation_id')} || {_part('CAST(user_id AS VARCHAR)')})) AS event FROM ev),
+chain AS (SELECT tenant_id, domain, aggregate_id, CAST(0 AS BIGINT) AS sequence_number, unhex(sha256({PREFIX} || {_part('tenant_id')} || {_part('domain')} || {_part('aggregate_id')} || {_part("'counter'")})) AS state FROM heads
+  UNION ALL SELECT c.tenant_id, c.domain, c.aggregate_id, t.sequence_number, unhex(sha256({STEP} || c.state || t.event)) FROM chain c JOIN told t ON t.aggregate_id = c.aggregate_id AND t.sequence_number = c.sequence_number + 1)
 SELECT c.tenant_id, c.domain, c.aggregate_id, sequence_number, 'v1:' || rtrim(replace(replace(to_base64(state), '+', '-'), '/', '_'), '=') AS fingerprint FROM chain c JOIN heads h USING (tenant_id, domain, aggregate_id) WHERE sequence_number = current_sequence""", EV.replace("WITH ev0", "WITH RECURSIVE ev0"))
 def prefix_fingerprint(spark, d):
     return projections.prefix_fingerprints(el.load(spark, d), "counter")

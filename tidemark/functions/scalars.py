@@ -86,6 +86,7 @@ def query_type_name(kind: Column) -> Column:
 def resource_names(tenant: Column, domain: Column) -> dict[str, Column]:
     """Names that follow from tenant and domain: state store, command endpoint and the topic of changed projections; null where either isn't valid."""
     ok = tenant.rlike(SEGMENT) & domain.rlike(SEGMENT)
+    # The formats of the names.
     told = {"state_store": F.concat(domain, F.lit("-eventstore")), "command_endpoint": F.concat(domain, F.lit("-commands")), "changed_topic": F.concat(tenant, F.lit("."), domain, F.lit(".projection-changed"))}
     return {k: F.when(ok, c) for k, c in told.items()}
 

@@ -87,8 +87,12 @@ def last_receipts(receipts: Column, most: int = 256) -> Column:
     return F.when(F.size(receipts) > most, F.slice(receipts, -most, most)).otherwise(receipts)
 
 
-# Fingerprints agree with those that others have stored only with these labels.
-EVENT, PREFIX, STEP = (f"hexalith.projection.delivery.{x}.v1".encode() for x in ("event", "prefix", "step"))
+def labels(namespace: str) -> tuple[bytes, bytes, bytes]:
+    """What the digests of events, first prefixes and steps begin with; stored fingerprints agree only with those of their own namespace."""
+    return tuple(f"{namespace}.{x}.v1".encode() for x in ("event", "prefix", "step"))
+
+
+NAMESPACE = "projection.delivery"
 
 
 def _part(value: str | bytes | None) -> bytes:
@@ -107,8 +111,8 @@ def ticks(log: DataFrame) -> Column:
     return F.coalesce(micros * 10 + F.lit(621_355_968_000_000_000), F.lit(-1))
 
 
-def prefix_fingerprints(log: DataFrame, name: str) -> DataFrame:
-    """A hash chain over each stream's events: fingerprint of the prefix up to its head.
+def prefix_fingerprints(log: DataFrame, name: str, namespace: str = NAMESPACE) -> DataFrame:
+    """A hash chain over each stream's events: fingerprint of the prefix up to its head, in a ``namespace`` of the caller's.
 
     An event's digest covers sequence, message id, type, payload, format, ticks, correlation and user; format
     (``serialization_format``) and user (``user_id``) are null where the log has no such column.
@@ -117,6 +121,7 @@ def prefix_fingerprints(log: DataFrame, name: str) -> DataFrame:
     from batch to batch, whatever its length.
     """
     schema = "tenant_id string, domain string, aggregate_id string, sequence_number long, fingerprint string"
+    event_label, prefix_label, step_label = labels(namespace)
 
     def text(digest: bytes) -> str:
         return "v1:" + base64.urlsafe_b64encode(digest).decode().rstrip("=")
@@ -130,10 +135,10 @@ def prefix_fingerprints(log: DataFrame, name: str) -> DataFrame:
                 if key != now:
                     if now is not None:
                         done.append((*now, last, text(state)))
-                    now, state = key, hashlib.sha256(PREFIX + b"".join(map(_part, (*key, name)))).digest()
+                    now, state = key, hashlib.sha256(prefix_label + b"".join(map(_part, (*key, name)))).digest()
                 told = _part(r.message_id) + _part(r.event_type_name) + _part(r.payload) + _part(r.format)
-                event = hashlib.sha256(EVENT + struct.pack("<q", r.sequence_number) + told + struct.pack("<q", r.ticks) + _part(r.correlation_id) + _part(r.user)).digest()
-                state, last = hashlib.sha256(STEP + state + event).digest(), r.sequence_number
+                event = hashlib.sha256(event_label + struct.pack("<q", r.sequence_number) + told + struct.pack("<q", r.ticks) + _part(r.correlation_id) + _part(r.user)).digest()
+                state, last = hashlib.sha256(step_label + state + event).digest(), r.sequence_number
             if done:
                 yield pd.DataFrame(done, columns=["tenant_id", "domain", "aggregate_id", "sequence_number", "fingerprint"])
         if now is not None:
