@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -42,6 +43,18 @@ def runs(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield from runs(batch.slice(half))
 
 
+@lru_cache(maxsize=1)
+def _trim() -> Callable[[int], int] | None:
+    return getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def give_back() -> None:
+    """Return what a task has freed to the system: workers live on, and executors have several."""
+    pa.default_memory_pool().release_unused()
+    if (trim := _trim()) is not None:
+        trim(0)
+
+
 def map_rows(df: DataFrame, columns: list[str], schema: str, make: Callable[[], Callable]) -> DataFrame:
     """Apply a batch function inside tasks, without a shuffle.
 
@@ -61,8 +74,10 @@ def map_rows(df: DataFrame, columns: list[str], schema: str, make: Callable[[],
                     out = f(*(batch.column(i).to_pylist() for i in range(batch.num_columns)))
                     yield pa.RecordBatch.from_arrays([pa.array(x, type=t.type) for x, t in zip(out, arrow, strict=True)], schema=arrow)
         finally:
+            del f
             if collects:
                 gc.enable()
+            give_back()
 
     return df.select(*columns).mapInArrow(run, schema)
 
