@@ -214,14 +214,15 @@ def counted(df: DataFrame, path: str, pattern: str, text: str = "text") -> DataF
         split, sums = regex.compile(pattern).findall, Counter()
 
         def told():
-            out = pa.RecordBatch.from_pydict({"word": list(sums), "n": list(sums.values())}, schema=schema)
+            kept = {w: n for w, n in sums.items() if len(w) <= HEAD_BYTES}
+            out = pa.RecordBatch.from_pydict({"word": list(kept), "n": list(kept.values())}, schema=schema)
             sums.clear()
             return out
 
         for batch in (run for whole in batches for run in runs(whole)):
             for own in batch.column(0).to_pylist():
                 if own:
-                    sums.update(w for w in split(own) if len(w) <= HEAD_BYTES)
+                    sums.update(split(own))
                 if len(sums) > COUNTED_WORDS:
                     yield told()
         yield told()
