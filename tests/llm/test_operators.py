@@ -332,6 +332,22 @@ def test_pii_decode_is_viterbi(docs):
     assert [pii.tag([t], model, s)[0] for t in texts] == pii.tag(texts, model, s)
 
 
+def test_pii_decodes_without_tanh_and_with_large_weights(monkeypatch):
+    """States are those of learning, whatever the weights, and need no tanh, which costs twice as much as exp without AVX-512."""
+    x, sizes = np.random.default_rng(3).integers(1, pii.CHARS, (9, 40)).astype(np.uint8), np.array([40, 40, 31, 31, 17, 5, 2, 1, 1])
+    for scale in (1, 300):
+        model = pii.Tagger(16)
+        model.p = {k: v * np.float32(scale) for k, v in model.p.items()}
+        want = [[model._run(x[i : i + 1, :k], d, False)[0][:, 0] for d in "fb"] for i, k in enumerate(sizes)]
+        with monkeypatch.context() as m, np.errstate(all="raise", under="ignore"):
+            m.setattr(np, "tanh", None)
+            got = model._states(x, sizes)
+        for i, k in enumerate(sizes):
+            steps = k if scale == 1 else 1  # large weights make steps that follow out of rounding
+            assert np.abs(got[0, :steps, i] - want[i][0][:steps]).max() < 1e-4 and np.abs(got[1, k - steps : k, i] - want[i][1][k - steps :]).max() < 1e-4
+            assert np.abs(got[:, :k, i]).max() <= 1 and not got[:, k:, i].any()
+
+
 def test_pii_held_out_spans_that_patterns_miss(spark):
     """Recall and precision by kind on disguised spans of documents that were not learned from."""
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("doc_id < 6000")
