@@ -348,6 +348,19 @@ def test_pii_decodes_without_tanh_and_with_large_weights(monkeypatch):
             assert np.abs(got[:, :k, i]).max() <= 1 and not got[:, k:, i].any()
 
 
+def test_pii_repeated_windows_are_decoded_once_and_searches_are_pooled(monkeypatch):
+    rng, s, model = random.Random(5), pii.Settings(), pii.Tagger(16)
+    texts = ["".join(rng.choices("ab @.1\u00e9\u4e2d", k=k)) for k in (700, 40, 300, 1000)]
+    want, rows, searches = [pii.tag([t], model, s)[0] for t in texts], [], []
+    decode, paths = pii.Tagger.decode, pii.Tagger._paths
+    monkeypatch.setattr(pii.Tagger, "decode", lambda self, x, sizes=None: rows.append(len(x)) or decode(self, x, sizes))
+    monkeypatch.setattr(pii.Tagger, "_paths", lambda self, e, sizes: searches.append(len(sizes)) or paths(self, e, sizes))
+    assert any(want) and pii.tag(texts * 300, model, s) == want * 300
+    assert rows == [sum(len(pii.windows(len(t) + len(pii.END), s.span, s.span - s.lap)) for t in texts)] and len(searches) == 1
+    monkeypatch.setattr(pii, "RUN_WINDOWS", 3)
+    assert pii.tag(texts, model, s) == want
+
+
 def test_pii_held_out_spans_that_patterns_miss(spark):
     """Recall and precision by kind on disguised spans of documents that were not learned from."""
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("doc_id < 6000")
