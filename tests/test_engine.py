@@ -311,6 +311,20 @@ def test_running_state_in_a_stream_is_the_timeline(spark, tmp_path):
     assert {tuple(r) for r in got} == {tuple(r) for r in want.collect()} and len(got) == log.count()
 
 
+def test_running_state_of_files_that_come_in_the_wrong_order(spark, tmp_path):
+    log = el.load(spark, SF).where("event_id < 300")
+    early, late = log.where("event_id < 150"), log.where("event_id >= 150")
+    for rows, age in ((late, 1_600_000_000), (early.unionByName(early.limit(5)), 1_700_000_000)):
+        rows.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        for file in (tmp_path / "in").glob("part-*.parquet"):
+            if file.stat().st_mtime > 1_750_000_000:
+                os.utime(file, (age, age))
+    got = []
+    stream = consumers.running(consumers.read_stream(spark, str(tmp_path / "in"), log.schema, 1), folds.DEMO)
+    consumers.deliver(stream, lambda batch, _: got.extend(batch.collect()), str(tmp_path / "check")).awaitTermination()
+    assert sorted(got) == sorted(folds.timeline(log).select(*stream.columns).collect())
+
+
 def test_dead_letters_are_put_aside(spark, tmp_path):
     torn = F.when(F.col("event_id") % 9 == 0, F.lit("{oops")).otherwise(F.col("payload"))
     log = el.load(spark, SF).withColumn("payload", torn).where("event_id < 500")

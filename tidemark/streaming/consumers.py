@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from decimal import Decimal
 
 import pandas as pd
@@ -75,9 +76,10 @@ def contiguous(stream: DataFrame) -> DataFrame:
 
 
 def running(stream: DataFrame, reducer: Reducer) -> DataFrame:
-    """The reducer's counters after each event of a stream, for streams that deliver each event once and in order: what ``contiguous`` or a log in order gives.
+    """The reducer's counters after each event of a stream, in order from 1, each event once: as in ``contiguous``, what arrives early waits in the stream's state until the gap closes.
 
-    What an event adds and resets is worked out in the JVM; the state of a stream is one number for each counter.
+    A file source goes by the times of its files, and files of one write may be finished in any order. What an event
+    adds and resets is worked out in the JVM; the state of a stream is one number for each counter and what waits.
     Amounts are carried as decimals in text, so they add up exactly.
     """
     names = [n for n, rule in reducer.fields.items() if isinstance(rule, Counter)]
@@ -94,20 +96,28 @@ def running(stream: DataFrame, reducer: Reducer) -> DataFrame:
     schema = "tenant_id string, domain string, aggregate_id string, sequence_number long, " + ", ".join(f"`{n}` string" for n in names)
 
     def step(key, batches, store):
-        sums = [Decimal(x) for x in store.get[0]] if store.exists else [Decimal(0)] * len(names)
-        out = []
+        following, sums, waiting = 1, [Decimal(0)] * len(names), {}
+        if store.exists:
+            following, sums, sequences, early = store.get
+            sums, waiting = [Decimal(x) for x in sums], dict(zip(sequences, early, strict=True))
         for pdf in batches:
-            for n, own in sorted(zip(pdf["sequence_number"], pdf["amounts"], strict=True), key=lambda r: r[0]):
-                for k, x in enumerate(own):
-                    total = Decimal(0) if x["reset"] else sums[k]
-                    total += Decimal(x["add"] or "0")
-                    sums[k] = max(total, Decimal(0)) if floors[k] else total
-                out.append((*key, int(n), *map(str, sums)))
-        store.update(([str(x) for x in sums],))
+            for n, own in zip(pdf["sequence_number"], pdf["amounts"], strict=True):
+                if n >= following:
+                    waiting.setdefault(int(n), own)
+        out = []
+        while following in waiting:
+            for k, x in enumerate(json.loads(waiting.pop(following))):
+                total = Decimal(0) if x.get("reset") else sums[k]
+                total += Decimal(x.get("add", "0"))
+                sums[k] = max(total, Decimal(0)) if floors[k] else total
+            out.append((*key, following, *map(str, sums)))
+            following += 1
+        store.update((following, [str(x) for x in sums], list(waiting), list(waiting.values())))
         yield pd.DataFrame(out, columns=columns)
 
-    told = stream.select(*ID, "sequence_number", F.array(*amounts).alias("amounts"))
-    folded = told.groupBy(*ID).applyInPandasWithState(step, schema, "sums array<string>", "append", GroupStateTimeout.NoTimeout)
+    told = stream.select(*ID, "sequence_number", F.to_json(F.array(*amounts)).alias("amounts"))
+    state = "next long, sums array<string>, sequences array<long>, early array<string>"
+    folded = told.groupBy(*ID).applyInPandasWithState(step, schema, state, "append", GroupStateTimeout.NoTimeout)
     return folded.select(*ID, "sequence_number", *[F.col(n).cast(rule.kind).alias(n) for n, rule in zip(names, rules, strict=True)])
 
 
